@@ -185,12 +185,8 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
 
     def examples(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes, None]]:
         e = encoder(path)
-        texts = batch.column(1).cast(pa.large_binary())
-        for at in range(0, batch.num_rows, 256):
-            part = texts[at : at + 256]
-            ids = e.encode([x.as_buffer().to_pybytes() if x.is_valid else b"" for x in part])
-            for doc, got in zip(batch.column(0)[at : at + 256].to_pylist(), ids, strict=True):
-                yield doc, got + end, None
+        for doc, x in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
+            yield doc, e.encode(x.as_buffer().to_pybytes() if x.is_valid else b"") + end, None
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return pack(rows, examples, limits, may_cut=True)

@@ -81,3 +81,12 @@ def quality(docs: DataFrame, text: str = "text", id_col: str = "doc_id", host: s
     hosts = cut(host_verdicts(judged, "_host", "base_failed", most_rate))
     joined = join_hosts(judged, hosts, "_host")
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("rate", 9).alias("host_rate"), (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"))
+
+
+def filtered(docs: DataFrame, text: str = "text", host: str = "source", most_rate: float = 0.5) -> DataFrame:
+    """The rows of docs that quality() keeps, with their columns."""
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), F.col(text).cast("string").alias("text"), F.col(host).cast("string").alias("_host"))
+    judged = cut(text_measures(rows).select("_row", "_host", "n_words", "word_chars", "n_symbols", own_failure().alias("base_failed")))
+    hosts = cut(host_verdicts(judged, "_host", "base_failed", most_rate))
+    joined = join_hosts(judged.where(~F.col("base_failed")), hosts, "_host")
+    return joined.where(F.coalesce("host_kept", F.lit(True))).select("_row.*")

@@ -36,14 +36,15 @@ def fingerprint(text: str | bytes | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per row of docs. Null texts count as empty; a text without words has fingerprint 0."""
+    """(doc_id, h, fp): one row per row of docs; h is a hash of the text. Null texts count as empty; a text without words has fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in batch.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            fps = [fingerprint(x.as_buffer().to_pybytes(), shingle) for x in batch.column(2).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "h", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(body).alias("h"), body.alias("text")).mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def block_masks(blocks: int, distance: int) -> list[int]:
@@ -106,7 +107,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 3, distance: int = 2, blocks: int = 4, full_bucket: int = 64) -> DataFrame:
-    """One row per row of docs: doc_id, fp (long) and component_id, the least doc_id that links of `distance` bits reach.
+    """One row per row of docs: doc_id, h (a hash of its text), fp (long), root (which names its component) and component_id, the least doc_id that links of `distance` bits reach.
 
     Null and empty texts have fingerprint 0 and link like others. A null doc_id is no candidate for the least one; a
     component of such rows alone has component_id null. Equal rows each come out. An empty table gives no rows.
@@ -115,8 +116,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     classes = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
     linked = components(links(classes.select("fp"), distance, blocks, full_bucket))
     members = classes.join(linked, classes.fp == linked.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = members.join(members.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return each.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = members.join(members.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return each.join(named, "fp").select("doc_id", "h", "fp", "root", "component_id")
+
+
+def representatives(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
+    """One row of docs for each component, with its columns: the one of the least doc_id (null ids last), then of the least text hash."""
+    found = near_duplicates(docs, text, id_col, **how)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    chosen = found.groupBy("root").agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.h").alias("_h"))
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("h"))
+    # The join has dealt rows by id and hash, so that of equal rows one stays without a further shuffle.
+    return rows.join(chosen, rows.id.eqNullSafe(chosen._id) & (rows.h == chosen._h), "left_semi").dropDuplicates(["id", "h"]).select("_row.*")
 
 
 def hex16(column: str) -> Column:

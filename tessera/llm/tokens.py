@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -21,7 +21,21 @@ from pyspark.sql import functions as F
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 END = "</w>"
 #: Entries that a worker's caches hold before they are emptied: bounds its memory.
-MOST_CACHED = 600_000
+MOST_CACHED = 1_000_000
+
+
+class Known(dict):
+    """What `made` gives for each key, kept until there are MOST_CACHED of them."""
+
+    def __init__(self, made: Callable):
+        self.made = made
+
+    def __missing__(self, key):
+        got = self.made(key)
+        if len(self) >= MOST_CACHED:
+            self.clear()
+        self[key] = got
+        return got
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -91,7 +105,7 @@ class PrefixCounter:
         closed = [0] * (n + 1)
         final, final_at = "", 0
         for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
+            for j in range(i - 1, max(-1, i - longest - 1), -1):
                 piece = letters[j:i]
                 if not open_last[i] and piece in self.plain and (j == 0 or open_last[j]) and follows(open_last[j], piece, False):
                     open_last[i], open_count[i], back[i] = piece, open_count[j] + 1, j
@@ -118,48 +132,47 @@ def letters_of(piece: str) -> str:
     return piece if piece.isascii() and piece.isprintable() else "".join(map(byte_letters().__getitem__, piece.encode()))
 
 
-class Counter:
-    """Token counts of whole texts: words between white space are independent, so each distinct one is counted once."""
+class Words:
+    """Words between white space are independent, so each distinct one is split once."""
 
     def __init__(self, path: str):
-        self.path, self.tokenizer, self.prefix = path, library(path), prefix_counter(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path, self.tokenizer = path, library(path)
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.words: dict[bytes, int] = {}
-        self.pieces: dict[str, int] = {}
 
-    def parts(self, word: str) -> Iterator[str]:
+    def parts(self, word: str) -> list[str]:
         """Pre-tokens of a word; special strings come whole."""
+        if word.isascii():
+            low = word.lower()
+            if low.isalpha():
+                return [low]
+            if low[:-1].isalpha() and low[-1] in ",.;:!?)":
+                return [low[:-1], low[-1]]
+        out: list[str] = []
         for part in self.special_split.split(word) if "<|" in word else (word,):
             if part in self.special:
-                yield part
+                out.append(part)
             elif part:
-                yield from PIECE.findall(part.lower() if part.isascii() else self.tokenizer.normalizer.normalize_str(part))
+                out += PIECE.findall(part.lower() if part.isascii() else self.tokenizer.normalizer.normalize_str(part))
+        return out
 
-    def piece(self, piece: str) -> int:
-        if piece in self.special:
-            return 1
-        got = self.pieces.get(piece)
-        if got is None:
-            if len(self.pieces) > MOST_CACHED:
-                self.pieces.clear()
-            got = self.pieces[piece] = self.prefix.word(letters_of(piece))[0][-1]
-        return got
+    @staticmethod
+    def split(text: bytes) -> list[bytes]:
+        """The words of a text; letters' case changes no id, but that of special strings counts."""
+        return text.split() if b"<|" in text else text.lower().split()
+
+
+class Counter(Words):
+    """Exact token counts of whole texts, by the prefix program of each distinct piece."""
 
-    def __missing__(self, word: bytes) -> int:
-        n = sum(map(self.piece, self.parts(word.decode())))
-        if len(self.words) > MOST_CACHED:
-            self.words.clear()
-        self.words[word] = n
-        return n
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.prefix = prefix_counter(path)
+        self.pieces = Known(lambda piece: 1 if piece in self.special else self.prefix.word(letters_of(piece))[0][-1])
+        self.words = Known(lambda word: sum(map(self.pieces.__getitem__, self.parts(word.decode()))))
 
     def count(self, text: bytes) -> int:
-        # Letters' case changes no id, but that of special strings counts.
-        get, total = self.words.get, 0
-        for word in text.split() if b"<|" in text else text.lower().split():
-            n = get(word)
-            total += self.__missing__(word) if n is None else n
-        return total
+        return sum(map(self.words.__getitem__, self.split(text)))
 
     def prefix_counts(self, text: str) -> list[int]:
         """The exact count of the text cut after each code point, for texts that the normalizer leaves at their length."""
@@ -214,52 +227,22 @@ def budget_prefix(c: Counter, raw: bytes, limit: int) -> int:
     return len(text)
 
 
-class Encoder:
+class Encoder(Words):
     """Ids of whole texts as the library gives them, as bytes of little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
-        self.tokenizer = library(path)
-        self.counter = counter(path)
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        model = json.loads(open(path, encoding="utf-8").read())["model"]
-        self.ends = np.zeros(max(model["vocab"].values()) + 16, bool)
-        self.ends[[i for t, i in model["vocab"].items() if t.endswith(END)]] = True
-        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        super().__init__(path)
+        model = self.tokenizer.model
+        of = lambda piece: [self.special[piece]] if piece in self.special else [t.id for t in model.tokenize(letters_of(piece))]
+        self.pieces = Known(lambda piece: array("I", of(piece)).tobytes())
+        self.words = Known(lambda word: b"".join(map(self.pieces.__getitem__, self.parts(word.decode()))))
 
     def ids(self, text: str) -> list[int]:
+        """By the library's own call."""
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def learn(self, words: set[bytes]) -> None:
-        """Puts the ids of new words into the cache; their new pieces go to the library joined, one call for all."""
-        if len(self.words) + len(words) > MOST_CACHED:
-            self.words.clear()
-        if len(self.pieces) + 3 * len(words) > MOST_CACHED:
-            self.pieces.clear()
-        split = [(w, list(self.counter.parts(w.decode()))) for w in words]
-        new = list({p for _, parts in split for p in parts if p not in self.pieces and p not in self.special})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(part):
-                self.pieces.update((p, np.array(self.ids(p), "<u4").tobytes()) for p in part)
-                continue
-            raw, b = ids.tobytes(), (4 * ends).tolist()
-            self.pieces.update(zip(part, (raw[i:j] for i, j in zip([0, *b[:-1]], b, strict=True)), strict=True))
-        special = {k: np.array([v], "<u4").tobytes() for k, v in self.special.items()}
-        for word, parts in split:
-            self.words[word] = b"".join(special[p] if p in special else self.pieces[p] for p in parts)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [text.split() if b"<|" in text else text.lower().split() for text in texts]
-        known = self.words
-        new = {w for words in split for w in words if w not in known}
-        if new:
-            if len(known) + len(new) > MOST_CACHED:
-                new = {w for words in split for w in words}
-            self.learn(new)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+    def encode(self, text: bytes) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.split(text)))
 
 
 @cache
