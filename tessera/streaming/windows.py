@@ -12,7 +12,10 @@ def since(unit: str, column: str) -> Column:
 
 
 def watermarked(events: DataFrame, late: str) -> DataFrame:
-    return events.withWatermark("ts", late) if events.isStreaming else events
+    """A stream needs a time with a zone for its watermark: zone-less ones are taken as they stand, in the session's zone."""
+    if not events.isStreaming:
+        return events
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
