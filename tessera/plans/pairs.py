@@ -131,7 +131,7 @@ def join_same_label(spark, sf_dir):
     """Pairs of one label by an equi-join on it: nothing of the size of all pairs is made."""
     e = base.vectors(spark, sf_dir)
     a, b = e.select(F.col("vec_id").alias("i"), "label", "v"), e.select(F.col("vec_id").alias("j"), "label", F.col("v").alias("w"))
-    return a.join(b, "label").where("i < j").select("i", "j", rounded(F.round(dot("v", "w"), 9)).alias("score"))
+    return a.join(b, "label").where("i < j").select("i", "j", (F.round(dot("v", "w"), 9) + 0.0).alias("score"))
 
 
 CENTERS = "c AS (SELECT label8 AS class, vec_id % 3 AS k, d, avg(v[d]) AS x FROM (SELECT label8, vec_id, v, unnest(range(1, 65)) AS d FROM e) GROUP BY 1, 2, 3), cv AS (SELECT class, k, list(x ORDER BY d) AS w FROM c GROUP BY 1, 2)"
