@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.graph import shared_folder
-from ..sources import files
+from ..sources import files, shards
 from . import base
 from .base import E, r6
 from .registry import query, table
@@ -161,8 +161,80 @@ def sink_tracker(spark, sf_dir):
 @query("SELECT vec_id AS idx, CAST(label AS BIGINT) AS label FROM embeddings")
 def scan_folder(spark, sf_dir):
     """Files in folders by class; the folder's order gives the label."""
-    at = place(spark, "folder")
+    at = class_folders(spark, sf_dir)
+    read = files.folder(spark, at)
+    return read.select(F.regexp_extract("path", r"([0-9]+)\.jpg$", 1).cast("long").alias("idx"), F.regexp_extract("class", "([0-9]+)$", 1).cast("long").alias("label"))
+
+
+@query()
+def scan_synthetic(spark, sf_dir):
+    return files.synthetic(spark, 1000, 100, seed=1).select("idx", "label")
+
+
+@query()
+def gen_synth(spark, sf_dir):
+    made = files.replicas(spark, 50, 4, 16, 0.1, seed=3)
+    return made.select("key", "image", (F.round(F.col("v")[0], 9) + 0.0).alias("first"))
+
+
+LABELS = "SELECT vec_id AS idx, CAST(label AS BIGINT) AS label FROM embeddings"
+
+
+def shard_rows(spark, sf_dir):
+    at = place(spark, "shards")
+    shards.write_shards(payloads(spark, sf_dir), at, 4)
+    number = F.regexp_extract(F.col("payload").cast("string"), "([0-9]+)", 1).cast("long")
+    return shards.read_shards(spark, at).select(number.alias("idx"), "label")
+
+
+@query(LABELS)
+def scan_mds(spark, sf_dir):
+    """Samples of indexed shards."""
+    return shard_rows(spark, sf_dir)
+
+
+def array_rows(spark, sf_dir):
+    at = place(spark, "array")
+    shards.write_array(base.vectors(spark, sf_dir).select(F.col("vec_id").alias("idx"), "v"), at, 64)
+    return shards.read_array(spark, at).select("idx", (F.round(F.col("v")[0], 6) + 0.0).alias("first"))
+
+
+FIRST = f"WITH {E} SELECT vec_id AS idx, {r6('v[1]')} AS first FROM e"
+
+
+@query(FIRST)
+def scan_zarr(spark, sf_dir):
+    """Rows of a chunked array."""
+    return array_rows(spark, sf_dir)
+
+
+@query(FIRST)
+def sink_zarr(spark, sf_dir):
+    return array_rows(spark, sf_dir)
+
+
+@query("SELECT CAST(4 AS BIGINT) AS archives, 2 * count(*) AS members FROM embeddings")
+def sink_wds(spark, sf_dir):
+    """Samples as tar shards: how many members they hold."""
+    rows = payloads(spark, sf_dir).withColumn("key", F.lpad(F.col("idx").cast("string"), 8, "0"))
+    members = rows.select("key", F.lit("img").alias("kind"), F.col("payload").alias("content")).union(rows.select("key", F.lit("cls"), F.col("label").cast("string").cast("binary")))
+    return files.write_archives(members, place(spark, "tar"), 4).agg(F.count("*").alias("archives"), F.sum("members").alias("members"))
+
+
+@query("SELECT f AS format, (SELECT count(*) FROM embeddings) AS n FROM (VALUES ('recordio'), ('mds'), ('parquet')) t(f)")
+def sink_all_formats(spark, sf_dir):
+    """One collection in several formats, counted as each reads it."""
     rows = payloads(spark, sf_dir)
+    at = place(spark, "parquet")
+    rows.write.parquet(at)
+    counted = {"recordio": spark.read.format("recordio").load(records(spark, sf_dir)), "mds": shard_rows(spark, sf_dir), "parquet": spark.read.parquet(at)}
+    made = [df.agg(F.lit(name).alias("format"), F.count("*").alias("n")) for name, df in counted.items()]
+    return made[0].union(made[1]).union(made[2])
+
+
+def class_folders(spark, sf_dir):
+    """A folder of a file for each row, in folders by class."""
+    at = place(spark, "folder")
 
     def run(batches):
         import os
@@ -171,21 +243,37 @@ def scan_folder(spark, sf_dir):
             for idx, label, content in batch[["idx", "label", "payload"]].itertuples(index=False):
                 folder = f"{at.removeprefix('file:')}/class{int(label):03d}"
                 os.makedirs(folder, exist_ok=True)
-                with open(f"{folder}/{idx}.jpg", "wb") as f:
+                with open(f"{folder}/f{idx}.jpg", "wb") as f:
                     f.write(content)
             yield batch[["idx"]]
 
-    rows.mapInPandas(run, "idx long").count()
-    read = files.folder(spark, at)
-    return read.select(F.regexp_extract("path", r"([0-9]+)\.jpg$", 1).cast("long").alias("idx"), F.regexp_extract("class", "([0-9]+)$", 1).cast("long").alias("label"))
+    payloads(spark, sf_dir).mapInPandas(run, "idx long").count()
+    return at
 
 
-@query()
-def scan_synthetic(spark, sf_dir):
-    return files.synthetic(spark, 1000, 100, seed=1).select("idx", "label")
+@query("SELECT 'f' || vec_id || '.jpg' AS name, vec_id AS number, CAST(4 + length(CAST(vec_id AS VARCHAR)) + vec_id % 7 AS BIGINT) AS n_bytes FROM embeddings")
+def list_files(spark, sf_dir):
+    """All files below a folder, by the number in their names."""
+    found = files.listed(spark, class_folders(spark, sf_dir), "*.jpg")
+    return found.select("name", F.regexp_extract("name", "([0-9]+)", 1).cast("long").alias("number"), F.col("length").alias("n_bytes")).orderBy("number")
 
 
-@query()
-def gen_synth(spark, sf_dir):
-    made = files.replicas(spark, 50, 4, 16, 0.1, seed=3)
-    return made.select("key", "image", (F.round(F.col("v")[0], 9) + 0.0).alias("first"))
+@query("SELECT 'f' || vec_id || '.jpg' AS name, CAST(label AS BIGINT) AS label FROM embeddings")
+def scan_folder_cached(spark, sf_dir):
+    """The listing of a folder, kept as Parquet; the second read does not list it again."""
+    root, cache = class_folders(spark, sf_dir), place(spark, "listing")
+    files.folder_cached(spark, root, cache)
+    again = files.folder_cached(spark, root + "-gone", cache)
+    return again.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("label").cast("long").alias("label"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def st_async_sink(spark, sf_dir):
+    """Rows of a stream appended batch by batch to a table of metrics."""
+    at, state = place(spark, "sink"), place(spark, "state")
+    rows = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/events.parquet*")
+    sink = files.metrics_sink(at)
+    q = stream.select("event_type").writeStream.foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(at).groupBy("event_type").agg(F.count("*").alias("n"))

@@ -473,3 +473,19 @@ def ext_sessions(spark, sf_dir):
     from ..streaming.windows import sessions
 
     return sessions(table(spark, sf_dir, "events"))
+
+
+@query("WITH x AS (SELECT epoch_us(ts) // 1000000 AS t, event_type, unnest(range(0, 4)) AS k FROM events) SELECT CAST((t // 900 - k) * 900 AS BIGINT) AS start, event_type, count(*) AS n FROM x GROUP BY 1, 2")
+def ext_stream_windows(spark, sf_dir):
+    """Windows of an hour every quarter of it."""
+    from ..streaming.windows import sliding
+
+    return sliding(table(spark, sf_dir, "events"))
+
+
+@query(f"WITH {P}, t AS (SELECT i, j, s, row_number() OVER (ORDER BY s DESC, i, j) AS r FROM p WHERE NOT same ORDER BY s DESC, i, j LIMIT 100) SELECT i, j, s + 0.0 AS score, CAST(ceil(r / 12.0) AS BIGINT) AS page, (r - 1) % 12 // 4 AS line, (r - 1) % 4 AS place FROM t")
+def sink_contact_sheet(spark, sf_dir):
+    """The rows of sheets of twelve: the highest negatives with their page, line and place."""
+    top = sim.extremes(base.labelled(spark, sf_dir), 100, False, True)
+    placed = top.withColumn("r", F.row_number().over(Window.orderBy(F.desc("score"), "i", "j")).cast("long"))
+    return placed.select("i", "j", (F.col("score") + 0.0).alias("score"), F.ceil(F.col("r") / 12).alias("page"), F.expr("(r - 1) % 12 div 4").alias("line"), ((F.col("r") - 1) % 4).alias("place"))
