@@ -27,11 +27,12 @@ def slabs(left: Tile, right: Tile) -> Iterator[Slab]:
     ids_a, labels_a, x_a = left
     ids_b, labels_b, x_b = right
     own = len(ids_a) == len(ids_b) and bool((ids_a == ids_b).all())
+    meet = bool(np.isin(labels_a, labels_b).any())
     for at in range(0, len(ids_a), SLAB):
         scores = np.round(x_a[at : at + SLAB] @ x_b.T, PLACES)
         i, j = np.broadcast_arrays(ids_a[at : at + SLAB, None], ids_b[None, :])
         take = i < j if own else np.ones(scores.shape, bool)
-        same = labels_a[at : at + SLAB, None] == labels_b[None, :]
+        same = labels_a[at : at + SLAB, None] == labels_b[None, :] if meet else np.zeros(scores.shape, bool)
         yield np.minimum(i, j)[take], np.maximum(i, j)[take], same[take], scores[take], np.flatnonzero(take)
 
 
@@ -43,11 +44,18 @@ def tile_of(t: pa.Table, mark: str) -> Tile:
     return ids[order], labels[order], x[order]
 
 
-def over_tiles(rows: DataFrame, kernel: Callable[[Iterator[Slab]], pa.Table], schema: str, block_rows: int = 1024, id_col: str = "vec_id", label: str = "label", vector: str = "embedding", n: int | None = None) -> DataFrame:
-    """kernel's rows of every tile. Ids are distinct. A row travels once for each block, so larger blocks shuffle less and hold more."""
+def over_tiles(rows: DataFrame, kernel: Callable[[Iterator[Slab]], pa.Table], schema: str, block_rows: int = 1024, id_col: str = "vec_id", label: str = "label", vector: str = "embedding", n: int | None = None, by_label: bool = False) -> DataFrame:
+    """kernel's rows of every tile. Ids are distinct. A row travels once for each block, so larger blocks shuffle less and hold more.
+
+    With by_label, rows of a label go to neighbouring blocks, an eighth of the labels' hashes apart at most, so that most tiles hold no equal labels and compare none.
+    """
     n = rows.count() if n is None else n
     blocks = max(1, -(-n // block_rows))
-    given = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int").alias("b"))
+    block = F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks))
+    if by_label:
+        spread = max(1, blocks // 8)
+        block = F.pmod(F.pmod(F.xxhash64(F.col(label)), F.lit(blocks)) + F.pmod(F.xxhash64(F.col(id_col)), F.lit(spread)), F.lit(blocks))
+    given = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("v"), block.cast("int").alias("b"))
     left = given.withColumn("hi", F.explode(F.sequence(F.col("b"), F.lit(blocks - 1)))).withColumnRenamed("b", "lo")
     right = given.select(F.col("id").alias("id_"), F.col("label").alias("label_"), F.col("v").alias("v_"), F.col("b").alias("hi_")).withColumn("lo_", F.explode(F.sequence(F.lit(0), F.col("hi_"))))
     empty = kernel(iter(()))

@@ -85,8 +85,8 @@ def agg_hist_rollup(spark, sf_dir):
 
 @query(f"WITH {HIST} SELECT bin, pos, neg FROM h")
 def agg_hist_merge(spark, sf_dir):
-    """Partial histograms of four parts of the rows' tiles, added."""
-    return sim.histogram(base.labelled(spark, sf_dir), block_rows=200).groupBy("bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    """Partial histograms of small tiles, added bin by bin."""
+    return sim.histogram(base.labelled(spark, sf_dir), block_rows=50)
 
 
 CONF = "count(*) FILTER (yes AND is_same) AS tp, count(*) FILTER (yes AND NOT is_same) AS fp, count(*) FILTER (NOT yes AND NOT is_same) AS tn, count(*) FILTER (NOT yes AND is_same) AS fn"

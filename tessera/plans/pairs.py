@@ -254,8 +254,8 @@ def sim_v5(spark, sf_dir):
 
 @query(f"WITH {HIST} SELECT bin, pos, neg FROM h")
 def sim_v6(spark, sf_dir):
-    """Blocks by label: tiles of blocks without a common label hold negatives alone."""
-    return sim.histogram(base.labelled(spark, sf_dir), block_rows=256)
+    """Rows dealt by label: tiles without a common label hold negatives alone and compare no labels."""
+    return sim.histogram(base.labelled(spark, sf_dir), block_rows=64, by_label=True)
 
 
 @query(f"WITH {P} SELECT i, j, same, {PAIR_SQL} FROM p WHERE (NOT same AND s >= 0.35) OR (same AND s <= -0.3)")

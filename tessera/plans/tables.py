@@ -181,10 +181,8 @@ def topk_band(spark, sf_dir):
 
 @query(f"WITH {P}, t AS (SELECT i, j, s FROM p WHERE NOT same ORDER BY s DESC, i, j LIMIT 30) SELECT i, j, s + 0.0 AS score FROM t")
 def topk_merge(spark, sf_dir):
-    """The best of each half, put together and ranked again."""
-    rows = base.labelled(spark, sf_dir)
-    parts = sim.extremes(rows, 30, False, True, block_rows=100)
-    return parts.unionByName(parts.limit(0)).orderBy(F.desc("score"), "i", "j").limit(30).select("i", "j", (F.col("score") + 0.0).alias("score"))
+    """The best of each tile, put together and ranked again."""
+    return sim.extremes(base.labelled(spark, sf_dir), 30, False, True, block_rows=100).select("i", "j", (F.col("score") + 0.0).alias("score"))
 
 
 @query(f"WITH {HISTORY}, o AS (SELECT run, m1, row_number() OVER (PARTITION BY run ORDER BY step) AS r FROM hist WHERE m1 IS NOT NULL), RECURSIVE_IN AS (SELECT 1) SELECT run, {r6('sum(m1 * CASE WHEN r = 1 THEN power(0.9, n - 1) ELSE 0.1 * power(0.9, n - r) END)')} AS ema FROM o JOIN (SELECT run, max(r) AS n FROM o GROUP BY 1) USING (run) GROUP BY run")
