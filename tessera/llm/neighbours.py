@@ -121,11 +121,12 @@ def nearest(rows: DataFrame, is_query: str, k: int = 5, trees: int = 8, depth: i
     Equal vectors are one class, known by its k + 1 least ids, which is all that a list of k can need; so copies of a
     vector never fill a leaf. Trees are fitted on at most SAMPLE classes (those with the least hashes) and every class is in
     one leaf of each tree. A leaf's classes and the queries that visit it meet in blocks of bounded size.
-    Rows with a null id, or a vector that is null, zero or holds null or non-finite components, take no part; vectors of
-    other lengths than the commonest raise ValueError. Repeated ids count once per distinct vector. Ties go to smaller ids; an empty table gives no rows.
+    Rows with a null id, or a vector that is null, zero or holds null or non-finite components, take no part, nor do
+    vectors of another length than the commonest. Repeated ids count once per distinct vector. Ties go to smaller ids; an empty table gives no rows.
     """
     usable = valid_vectors(rows, id_col, vector)
-    flagged = usable.withColumn("asks", F.expr(is_query))
+    sizes = usable.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    flagged = usable.where(F.size("v") == (sizes["dim"] if sizes else 0)).withColumn("asks", F.expr(is_query))
     # The least ids of each class: Spark keeps k + 1 rows of a class in each task before it deals them out.
     least = Window.partitionBy("v").orderBy("id")
     first = flagged.select("id", "v").distinct().withColumn("r", F.row_number().over(least)).where(F.col("r") <= k + 1)
@@ -135,8 +136,6 @@ def nearest(rows: DataFrame, is_query: str, k: int = 5, trees: int = 8, depth: i
     out_schema = "query_id long, rank int, vec_id long, score double"
     if not sample:
         return rows.sparkSession.createDataFrame([], out_schema)
-    if len({len(v) for v in sample}) > 1:
-        raise ValueError("vectors differ in length")
     forest = rows.sparkSession.sparkContext.broadcast(fit(unit(np.array(sample)), trees, depth, seed))
     del sample
 
