@@ -13,7 +13,7 @@ from ..operators.pooling import pooled, templates
 from . import base
 from .base import E, FOLD, HIST, LEVELS, POS, P, r6
 from .pairs import PG, probe_gallery, tpir_topk
-from .registry import query, table
+from .registry import query
 from .scalars import long_form
 
 LONG = "x AS (SELECT *, unnest(range(1, 65)) AS d FROM e)"
