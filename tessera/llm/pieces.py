@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -12,7 +13,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-MOST_CACHED = 700_000
+#: Entries of each of a cache's two generations: bounds a worker's memory.
+MOST_CACHED = 600_000
+
+
+class Recent(dict):
+    """What `made` gives for each key. A full generation becomes the old one, whose entries come back when they are asked for."""
+
+    def __init__(self, made: Callable):
+        self.made, self.old = made, {}
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.made(key)
+        if len(self) >= MOST_CACHED:
+            self.old = dict(self)
+            self.clear()
+        self[key] = got
+        return got
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -42,19 +61,24 @@ class Pieces:
         #: Neighbours inside some piece: between others no piece stands across.
         self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.may: dict[tuple[str, str], bool] = {}
-        self.units: dict[str, bytes] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.units = Recent(self.unit)
+        self.parts = Recent(lambda part: [i for _, ids in self.stream(part) for i in ids])
         byte_of = {i: b for b, i in self.bytes.items()}
         silent = {i for i in range(len(self.texts)) if sp.is_control(i)}
         self.raw = [b"" if i in silent else bytes([byte_of[i]]) if i in byte_of else t.replace(BLANK, " ").encode() for i, t in enumerate(self.texts)]
 
     def merged(self, letters: list[str]) -> list[str]:
         """BPE as the model defines it: the pair with the best score, leftmost first, until none is a piece."""
-        while len(letters) > 1:
-            best, i = max((self.score.get(a + b, -np.inf), -i) for i, (a, b) in enumerate(zip(letters, letters[1:], strict=False)))
-            if best == -np.inf:
-                break
-            letters[-i : -i + 2] = [letters[-i] + letters[-i + 1]]
+        score, none = self.score.get, -np.inf
+        pairs = [score(a + b, none) for a, b in zip(letters, letters[1:], strict=False)]
+        while pairs and (best := max(pairs)) > none:
+            i = pairs.index(best)
+            letters[i : i + 2] = [letters[i] + letters[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = score(letters[i - 1] + letters[i], none)
+            if i < len(pairs):
+                pairs[i] = score(letters[i] + letters[i + 1], none)
         return letters
 
     def follows(self, a: str, b: str) -> bool:
@@ -82,7 +106,7 @@ class Pieces:
             text.append(c)
             i = len(text)
             tail = "".join(text[max(0, i - longest) :])
-            for n in range(len(tail), 0, -1):
+            for n in range(1, len(tail) + 1):
                 piece = tail[len(tail) - n :]
                 # After the boundary the piece before it still decides, so it is kept as last[0].
                 if (piece in ids or n == 1) and last[i - n] is not None and self.follows(last[i - n], piece):
@@ -115,48 +139,39 @@ class Pieces:
         back[0] = 0
 
     def part(self, part: str) -> list[int]:
-        got = self.parts.get(part)
-        if got is None:
-            got = [i for _, ids in self.stream(part) for i in ids]
-            if len(part) <= 64:
-                if len(self.parts) > MOST_CACHED:
-                    self.parts.clear()
-                self.parts[part] = got
-        return got
+        """Ids of a text across whose ends no piece stands; those of short ones are kept."""
+        return self.parts[part] if len(part) <= 64 else [i for _, ids in self.stream(part) for i in ids]
 
     def unit(self, word: str) -> bytes:
-        """Ids of a blank and a word, split where no piece stands across; short ones are kept, as bytes."""
+        """Ids of a blank and a word, as bytes, split where no piece stands across."""
         whole, cuts = BLANK + word, [0]
         cuts += [i for i in range(1, len(whole)) if whole[i - 1 : i + 1] not in self.joined]
         ids = [i for a, b in zip(cuts, [*cuts[1:], len(whole)], strict=True) for i in self.part(whole[a:b])]
-        made = np.array(ids, "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self.units) > MOST_CACHED:
-                self.units.clear()
-            self.units[word] = made
-        return made
+        return array("I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as bytes of little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
-        known = self.units
         if "  " in text or BLANK in text or text[0] == " " or text[-1] == " ":
             # Runs of blanks merge among themselves: such a text is streamed between single blanks.
             return self.blanks(text.replace(BLANK, " "))
-        return b"".join([known.get(w) or self.unit(w) for w in text.split(" ")])
+        words = text.split(" ")
+        if max(map(len, words)) > 1000:
+            return b"".join([self.units[w] if len(w) <= 64 else self.unit(w) for w in words])
+        return b"".join(map(self.units.__getitem__, words))
 
     def blanks(self, text: str) -> bytes:
-        out, run, known = [], "", self.units
+        out, run = [], ""
         words = text.split(" ")
         for i, w in enumerate(words):
             if w == "" and i < len(words) - 1:
                 run += BLANK
             elif run or w == "":
-                out.append(np.array(self.part(run + BLANK + w), "<u4").tobytes())
+                out.append(array("I", self.part(run + BLANK + w)).tobytes())
                 run = ""
             else:
-                out.append(known.get(w) or self.unit(w))
+                out.append(self.units[w] if len(w) <= 64 else self.unit(w))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
