@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +50,37 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[made] = path
+    for record in _records:
+        record.append(path)
+    return made
+
+
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_records: list[list[str]] = []
+
+
+@contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """Adds to paths the tables that cut() writes meanwhile."""
+    _records.append(paths)
+    try:
+        yield
+    finally:
+        _records.remove(paths)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes the files of tables from cut() that no later plan reads."""
+    for t in tables:
+        remove(t.sparkSession, _paths[t])
 
 
 def with_row_key(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -19,10 +19,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD_BASE, cut, mixed, runs, slices, span_hashes, word_hashes
+from .common import SPACE, WORD_BASE, cut, drop, mixed, recorded, remove, runs, slices, span_hashes, word_hashes
 
 #: Words of an anchor, distinct surroundings of one anchor up to which they meet in one automaton, and those that an automaton holds.
 ANCHOR, MOST_MET, SHARD = 8, 4096, 4096
+#: Offsets of windows that meet by the words they share.
+STEP = 7
 OCCURRENCE = "anchor long, around long, id long, h long, pos int"
 
 
@@ -163,11 +165,31 @@ def spans_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["anchor", "around", "lo", "hi"])
 
 
+HOT = "anchor long, around long, n long, low int, high int, shared binary, whole binary, windows array<binary>"
+
+
+def parts_of(words: list[bytes], lead: int, window: int) -> Iterator[tuple[int, int, bytes, bytes, list[bytes]]]:
+    """(low, high, shared, whole, windows) of surroundings, for each range of STEP offsets that a window may have to the anchor.
+
+    Windows whose offsets lie in a range all hold the words that `shared` names, and no others than `whole` names; windows are their own names,
+    by offset from low to high. Names are 128-bit hashes.
+    """
+    reach = window - ANCHOR
+    right = len(words) - lead - ANCHOR
+    named = lambda of, a, b: hashlib.blake2b(b" ".join([of, *words[lead - a : lead + ANCHOR + b]]), digest_size=16).digest()
+    for first in range(0, reach + 1, STEP):
+        last = min(first + STEP - 1, reach)
+        low, high = max(first, reach - right), min(last, lead)
+        if low <= high:
+            yield low, high, named(b"%d" % first, first, reach - last), named(b"%d-%d" % (low, high), high, reach - low), [named(b"", o, reach - o) for o in range(low, high + 1)]
+
+
 def located(near: DataFrame, window: int) -> DataFrame:
-    """Spans of recurring passages in the surroundings (anchor, around, n, lead, kin, words).
+    """(anchor, around, spans): spans (lo, hi) of recurring passages in the surroundings (anchor, around, n, lead, kin, words), from the anchor.
 
-    Anchors with up to MOST_MET distinct surroundings go whole to an automaton. For the others, whose number of
-    surroundings grows with the corpus, each window is counted by its 128-bit hash over all tasks, which gives the same spans.
+    Anchors with up to MOST_MET distinct surroundings go whole to an automaton. The surroundings of the others, whose number
+    grows with the corpus, meet by the words that a range of windows shares, over all tasks: most meet no other and are
+    done; those that meet only their like recur whole; of the rest each window is counted by itself. Spans are the same either way.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,46 +204,55 @@ def located(near: DataFrame, window: int) -> DataFrame:
             yield spans_batch(out)
         yield spans_batch(list(shard_spans(group, window)))
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
         for batch in batches:
-            out = []
-            for anchor, around, n, lead, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                words = text.split(b" ")
-                out += [(anchor, around, i - lead, n, hashlib.blake2b(b" ".join(words[i : i + window]), digest_size=16).digest()) for i in range(len(words) - window + 1)]
-            a, b, lo, n, h = zip(*out, strict=True) if out else ((),) * 5
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(lo, pa.int32()), pa.array(n, pa.int64()), pa.array(h, pa.binary())], ["anchor", "around", "lo", "n", "window"])
+            out = [(anchor, around, n, *part) for anchor, around, n, lead, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True) for part in parts_of(text.split(b" "), lead, window)]
+            columns = zip(*out, strict=True) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in HOT.split(", ")])
 
     met = near.where(F.col("kin") <= MOST_MET).select("anchor", "around", "n", "lead", "words")
     shards = met.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, SPAN)
-    many = cut(near.where(F.col("kin") > MOST_MET).select("anchor", "around", "n", "lead", "words").mapInArrow(windows, "anchor long, around long, lo int, n long, window binary"))
-    place = ["anchor", "lo", "window"]
-    recurring = many.groupBy(place).agg(F.sum("n").alias("n")).where("n > 1").select(place)
-    return shards.unionByName(many.join(recurring, place).select("anchor", "around", "lo", (F.col("lo") + window).cast("int").alias("hi")))
+    hot = cut(near.where(F.col("kin") > MOST_MET).select("anchor", "around", "n", "lead", "words").mapInArrow(divided, HOT))
+    likes = hot.groupBy("shared", "whole").agg(F.sum("n").alias("n")).groupBy("shared").agg(F.sum("n").alias("total"), F.count("*").alias("wholes")).where("total > 1")
+    found = cut(hot.join(likes, "shared").drop("total", "shared", "whole"))
+    alike = found.where("wholes = 1").select("anchor", "around", (-F.col("high")).alias("lo"), (window - F.col("low")).alias("hi"))
+    each = found.where("wholes > 1").select("anchor", "around", "n", "low", F.posexplode("windows").alias("o", "passage")).withColumn("o", F.col("o") + F.col("low"))
+    recurring = each.groupBy("o", "passage").agg(F.sum("n").alias("n")).where("n > 1").select("o", "passage")
+    single = each.join(recurring, ["o", "passage"]).select("anchor", "around", (-F.col("o")).alias("lo"), (window - F.col("o")).alias("hi"))
+    return shards.unionByName(alike).unionByName(single).groupBy("anchor", "around").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def repeated_spans(rows: DataFrame, window: int = 35) -> DataFrame:
-    """(wid, wh, found: list of (lo, hi)) for rows (id, h, text): word spans that windows of `window` words cover which stand at another place too."""
+    """(wid, wh, found) for rows (id, h, text): found lists (pos, spans), word spans from word pos on that windows of `window` words cover which stand at another place too."""
     reach = window - ANCHOR
-    occ = cut(occurrences(rows, window))
+    first = cut(occurrences(rows, window))
     # Distinct surroundings first: copies meet before they travel further.
-    kinds = occ.groupBy("anchor", "around").agg(F.count("*").alias("n"))
+    kinds = first.groupBy("anchor", "around").agg(F.count("*").alias("n"))
     recurring = cut(kinds.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("kin")).where("total > 1").select("anchor", "kin"))
-    occ = cut(occ.join(recurring, "anchor"))
+    occ = cut(first.join(recurring, "anchor"))
+    drop(first, recurring)
     # One kind of surroundings: all of it recurs.
-    alike = occ.where("kin = 1").select("id", "h", F.greatest(F.col("pos") - reach, F.lit(0)).alias("lo"), (F.col("pos") + ANCHOR + reach).alias("hi"))
+    alike = occ.where("kin = 1").select("id", "h", "pos", F.array(F.struct(F.lit(-reach).alias("lo"), F.lit(ANCHOR + reach).alias("hi"))).alias("spans"))
     several = occ.where("kin > 1")
     one = several.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "pos")).alias("at"), F.max("kin").alias("kin"))
     wanted = one.groupBy(F.col("at.id").alias("wid"), F.col("at.h").alias("wh")).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "anchor", "around", "n", "kin")).alias("found"))
-    near = surroundings(packed_texts(rows), wanted, window)
-    spans = located(cut(near), window)
-    each = several.join(spans, ["anchor", "around"]).select("id", "h", (F.col("pos") + F.col("lo")).cast("int").alias("lo"), (F.col("pos") + F.col("hi")).cast("int").alias("hi"))
-    return alike.unionByName(each).groupBy(F.col("id").alias("wid"), F.col("h").alias("wh")).agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
+    near = cut(surroundings(packed_texts(rows), wanted, window))
+    helpers: list[str] = []
+    with recorded(helpers):
+        spans = located(near, window)
+    spans = cut(spans)
+    drop(near)
+    remove(rows.sparkSession, *helpers)
+    each = several.join(spans, ["anchor", "around"]).select("id", "h", "pos", "spans")
+    # Equal rows name the same places, which a set holds once.
+    return alike.unionByName(each).groupBy(F.col("id").alias("wid"), F.col("h").alias("wh")).agg(F.collect_set(F.struct("pos", "spans")).alias("found"))
 
 
 def united(found: list[dict] | None, n: int) -> list[tuple[int, int]]:
-    """Spans (lo, hi), cut at n, joined where they touch."""
+    """Spans (lo, hi) of words 0 to n, joined where they touch."""
     out: list[tuple[int, int]] = []
-    for lo, hi in sorted((x["lo"], min(n, x["hi"])) for x in found or ()):
+    for lo, hi in sorted((max(0, x["pos"] + y["lo"]), min(n, x["pos"] + y["hi"])) for x in found or () for y in x["spans"]):
         if out and lo <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], hi))
         else:
