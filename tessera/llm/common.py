@@ -107,6 +107,14 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[
         at = end
 
 
+def few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of at most `rows`, so that Python objects are held for a few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of True within texts: (starts, ends, the text of each)."""
     if not len(inside):

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD_BASE, cut, drop, mixed, recorded, remove, runs, slices, span_hashes, word_hashes
+from .common import SPACE, WORD_BASE, cut, drop, few, mixed, recorded, remove, runs, slices, span_hashes, word_hashes
 
 #: Words of an anchor, distinct surroundings of one anchor up to which they meet in one automaton, and those that an automaton holds.
 ANCHOR, MOST_MET, SHARD = 8, 4096, 4096
@@ -85,7 +85,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in few(batches, 2048):
             z = pa.array([squeeze.compress(x.as_buffer().to_pybytes()) for x in batch.column(len(names)).cast(pa.large_binary())], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], z], [*names, "z"])
 
@@ -99,7 +99,7 @@ def surroundings(packed: DataFrame, wanted: DataFrame, window: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in few(batches):
             out: list[tuple] = []
             for z, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = plain.decompress(z).split()
@@ -189,12 +189,13 @@ def located(near: DataFrame, window: int) -> DataFrame:
 
     Anchors with up to MOST_MET distinct surroundings go whole to an automaton. The surroundings of the others, whose number
     grows with the corpus, meet by the words that a range of windows shares, over all tasks: most meet no other and are
-    done; those that meet only their like recur whole; of the rest each window is counted by itself. Spans are the same either way.
+    done; those that meet only their like recur whole; up to MOST_MET of the rest are counted together, and of more each
+    window is counted by itself over all tasks. Spans are the same either way.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
-        for batch in batches:
+        for batch in few(batches, 2048):
             out: list[tuple] = []
             for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if len(group) >= SHARD and row[0] != group[-1][0]:
@@ -206,21 +207,46 @@ def located(near: DataFrame, window: int) -> DataFrame:
 
     def divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
-        for batch in batches:
+        for batch in few(batches, 1024):
             out = [(anchor, around, n, *part) for anchor, around, n, lead, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True) for part in parts_of(text.split(b" "), lead, window)]
             columns = zip(*out, strict=True) if out else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in HOT.split(", ")])
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+
+        def done() -> Iterator[tuple[int, int, int, int]]:
+            seen: Counter[tuple[int, bytes]] = Counter()
+            for _, _, _, n, low, windows in group:
+                for o, w in enumerate(windows, low):
+                    seen[o, w] += n
+            for _, anchor, around, _, low, windows in group:
+                for o, w in enumerate(windows, low):
+                    if seen[o, w] > 1:
+                        yield anchor, around, -o, window - o
+            group.clear()
+
+        for batch in few(batches, 1024):
+            out: list[tuple[int, int, int, int]] = []
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if group and row[0] != group[0][0]:
+                    out += done()
+                group.append(row)
+            yield spans_batch(out)
+        yield spans_batch(list(done()))
+
     met = near.where(F.col("kin") <= MOST_MET).select("anchor", "around", "n", "lead", "words")
     shards = met.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, SPAN)
     hot = cut(near.where(F.col("kin") > MOST_MET).select("anchor", "around", "n", "lead", "words").mapInArrow(divided, HOT))
-    likes = hot.groupBy("shared", "whole").agg(F.sum("n").alias("n")).groupBy("shared").agg(F.sum("n").alias("total"), F.count("*").alias("wholes")).where("total > 1")
-    found = cut(hot.join(likes, "shared").drop("total", "shared", "whole"))
+    likes = hot.groupBy("shared", "whole").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).groupBy("shared").agg(F.sum("n").alias("total"), F.count("*").alias("wholes"), F.sum("rows").alias("rows")).where("total > 1")
+    found = cut(hot.join(likes, "shared").drop("total", "whole"))
     alike = found.where("wholes = 1").select("anchor", "around", (-F.col("high")).alias("lo"), (window - F.col("low")).alias("hi"))
-    each = found.where("wholes > 1").select("anchor", "around", "n", "low", F.posexplode("windows").alias("o", "passage")).withColumn("o", F.col("o") + F.col("low"))
+    together = found.where((F.col("wholes") > 1) & (F.col("rows") <= MOST_MET)).select("shared", "anchor", "around", "n", "low", "windows")
+    several = together.repartition("shared").sortWithinPartitions("shared").mapInArrow(counted, SPAN)
+    each = found.where((F.col("wholes") > 1) & (F.col("rows") > MOST_MET)).select("anchor", "around", "n", "low", F.posexplode("windows").alias("o", "passage")).withColumn("o", F.col("o") + F.col("low"))
     recurring = each.groupBy("o", "passage").agg(F.sum("n").alias("n")).where("n > 1").select("o", "passage")
     single = each.join(recurring, ["o", "passage"]).select("anchor", "around", (-F.col("o")).alias("lo"), (window - F.col("o")).alias("hi"))
-    return shards.unionByName(alike).unionByName(single).groupBy("anchor", "around").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    return shards.unionByName(alike).unionByName(several).unionByName(single).groupBy("anchor", "around").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def repeated_spans(rows: DataFrame, window: int = 35) -> DataFrame:
@@ -274,7 +300,7 @@ def kept_rows(docs: DataFrame, window: int, text: str, id_col: str, carried: Col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in few(batches):
             out: list[tuple] = []
             for z, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = plain.decompress(z)

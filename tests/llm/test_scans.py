@@ -162,7 +162,7 @@ def repeats_by_hand(texts, window):
     return out
 
 
-@pytest.mark.parametrize("most_met", [repeats.MOST_MET, 1])
+@pytest.mark.parametrize("most_met", [repeats.MOST_MET, 3, 1])
 def test_repeats(spark, sf_dir, texts, monkeypatch, most_met):
     monkeypatch.setattr(repeats, "MOST_MET", most_met)
     monkeypatch.setattr(repeats, "SHARD", 50)
