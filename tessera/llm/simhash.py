@@ -65,18 +65,20 @@ def links(fps: DataFrame, distance: int = 2, blocks: int = 4, full_bucket: int =
     A bucket holds the fingerprints that agree on all but `distance` of the blocks. Buckets of up to `full_bucket`
     members are compared pair by pair. In a fuller bucket each member is sent to itself and to each neighbour at one bit
     in the free blocks: members at distance 2 meet at the one between them, so a star around the least member of
-    each meeting point has the same components as all pairs, with rows in proportion to the members.
+    each meeting point has the same components as all pairs, with rows in proportion to the members. That serves distance 2
+    alone: at any other, all buckets are compared pair by pair.
     """
-    if distance != 2:
-        raise ValueError("meeting points at one bit serve distance 2")
+    blocks = max(blocks, distance + 1)
     masks = block_masks(blocks, distance)
     keyed = F.inline(F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bucket"), F.col("fp")) for i, m in enumerate(masks))))
     rows = fps.select(keyed)
     counts = rows.groupBy("mask", "bucket").agg(F.count("*").alias("members")).where("members > 1")
     shared = cut(rows.join(counts, ["mask", "bucket"]))
-    few = shared.where(F.col("members") <= full_bucket).drop("members")
+    few = (shared.where(F.col("members") <= full_bucket) if distance == 2 else shared).drop("members")
     pairs = few.alias("x").join(few.select("mask", "bucket", F.col("fp").alias("other")).alias("y"), ["mask", "bucket"])
     pairs = pairs.where((F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance)).select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    if distance != 2:
+        return pairs.distinct()
     free = F.element_at(F.array(*(F.array(F.lit(0).cast("long"), *(F.lit(signed(1 << i)) for i in range(BITS) if not m >> i & 1)) for m in masks)), F.col("mask") + 1)
     meet = shared.where(F.col("members") > full_bucket).select("fp", F.explode(free).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point")).distinct()
     least = meet.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
