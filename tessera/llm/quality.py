@@ -14,7 +14,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def text_measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of the whole text (null: empty).
+    """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words of the whole text (null: empty).
 
     A window of three words is known by a 64-bit hash within its own text.
     """
@@ -26,6 +26,7 @@ def text_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     step = step.withColumn("n_words", F.size("_words").cast("long"))
     step = step.withColumn("word_chars", F.aggregate("_words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)))
     step = step.withColumn("n_symbols", F.length(F.regexp_replace("_body", r"[^#*$%&|<>]+", "")).cast("long"))
+    step = step.withColumn("n_lines", F.size("_lines").cast("long"))
     step = step.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines", "_body")
     # Windows sorted by hash stand beside their equals; those that have one are put in the order of the text.
     step = step.withColumn("_hashes", F.when(F.col("n_words") > 2, F.zip_with(F.zip_with("_words", F.slice("_words", 2, F.size("_words")), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.slice("_words", 3, F.size("_words")), lambda ab, c: F.xxhash64(ab["a"], ab["b"], c))).otherwise(F.array().cast("array<bigint>"))).drop("_words")
@@ -44,6 +45,12 @@ def own_failure() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def method_failure() -> Column:
+    """The base rules, and the method's own: more than one symbol a word, a mean word under 2 or over 15 characters, over half of the lines duplicates of earlier ones."""
+    length = (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))
+    return own_failure() | (F.col("n_symbols") > F.col("n_words")) | length | (2 * F.col("n_dup_lines") > F.col("n_lines"))
+
+
 def host_verdicts(judged: DataFrame, host: str, failed: str, most_rate: float = 0.5) -> DataFrame:
     """(host, n, failures, rate, host_kept): each host's failure rate, shrunk towards all hosts' rates.
 
@@ -71,22 +78,23 @@ def join_hosts(rows: DataFrame, hosts: DataFrame, host: str) -> DataFrame:
 
 
 def quality(docs: DataFrame, text: str = "text", id_col: str = "doc_id", host: str = "source", most_rate: float = 0.5) -> DataFrame:
-    """One row per row of docs: doc_id, the measures, base_failed, host_rate, kept.
+    """One row per row of docs: doc_id, the measures, base_failed, host_rate, kept, method_failed, method_kept.
 
-    kept is false if the text fails its own rules, else its host's verdict; a row without a host keeps its own. Null
-    texts are empty and fail. Equal rows each come out. An empty table gives no rows; other columns are not read.
+    kept is false if the text fails the base rules, else its host's verdict by them, as the SQL states it; method_kept is the same
+    by all rules, for texts and hosts alike. A row without a host keeps its own. Null texts are empty and fail. Equal rows each come out. An empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(host).cast("string").alias("_host"))
-    judged = cut(text_measures(rows).drop("text").withColumn("base_failed", own_failure()))
-    hosts = cut(host_verdicts(judged, "_host", "base_failed", most_rate))
-    joined = join_hosts(judged, hosts, "_host")
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("rate", 9).alias("host_rate"), (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"))
+    judged = cut(text_measures(rows).drop("text").withColumn("base_failed", own_failure()).withColumn("method_failed", method_failure()))
+    base = host_verdicts(judged, "_host", "base_failed", most_rate)
+    method = host_verdicts(judged, "_host", "method_failed", most_rate).select("host", F.col("host_kept").alias("method_host_kept"))
+    joined = join_hosts(judged, cut(base.join(method, "host")), "_host")
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("rate", 9).alias("host_rate"), (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"), "method_failed", (~F.col("method_failed") & F.coalesce("method_host_kept", F.lit(True))).alias("method_kept"))
 
 
 def filtered(docs: DataFrame, text: str = "text", host: str = "source", most_rate: float = 0.5) -> DataFrame:
-    """The rows of docs that quality() keeps, with their columns."""
+    """The rows of docs whose method_kept of quality() is true, with their columns."""
     rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), F.col(text).cast("string").alias("text"), F.col(host).cast("string").alias("_host"))
-    judged = cut(text_measures(rows).select("_row", "_host", "n_words", "word_chars", "n_symbols", own_failure().alias("base_failed")))
-    hosts = cut(host_verdicts(judged, "_host", "base_failed", most_rate))
-    joined = join_hosts(judged.where(~F.col("base_failed")), hosts, "_host")
+    judged = cut(text_measures(rows).select("_row", "_host", "n_words", "word_chars", "n_symbols", method_failure().alias("method_failed")))
+    hosts = cut(host_verdicts(judged, "_host", "method_failed", most_rate))
+    joined = join_hosts(judged.where(~F.col("method_failed")), hosts, "_host")
     return joined.where(F.coalesce("host_kept", F.lit(True))).select("_row.*")

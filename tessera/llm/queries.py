@@ -23,7 +23,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents")).drop("host_rate")
+    return quality.quality(table(spark, sf_dir, "documents")).drop("host_rate", "method_failed", "method_kept")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
