@@ -221,7 +221,7 @@ HEXADECIMAL[[*range(48, 58), *range(97, 103)]] = True
 
 
 def scan_rows(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, tagger: Tagger) -> list[list[tuple[int, str, int]]]:
-    """All spans of each text, by start and kind; CRF spans that touch a base span are dropped."""
+    """All spans of each text, by start and kind; CRF spans inside a base span are dropped."""
     n = rows.num_rows
     out: list[list[tuple[int, str, int]]] = [[] for _ in range(n)]
     if not len(data):
@@ -271,7 +271,7 @@ def scan_rows(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, tagge
                 if hi > lo:
                     begin = len(raw[offsets[d] : lo].decode())
                     more.append((begin, "crf", begin + len(raw[lo:hi].decode())))
-        kept = [x for x in more if all(x[2] <= a or x[0] >= b for a, _, b in found)]
+        kept = [x for x in more if not any(a <= x[0] and x[2] <= b for a, _, b in found)]
         out[d] = sorted(found + kept, key=lambda x: (x[0], KINDS.index(x[1])))
     return out
 
