@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
+from itertools import accumulate
+from sys import getsizeof
 
 import pyarrow as pa
 import regex
@@ -20,21 +23,26 @@ from pyspark.sql import functions as F
 #: Pre-tokens of the tokenizer file, as its own pre_tokenizer states them (fixed value).
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 END = "</w>"
-#: Entries that a worker's caches hold before they are emptied: bounds its memory.
-MOST_CACHED = 1_000_000
+#: Bytes of keys and values (and 100 for each entry) that one of a worker's caches holds before it is emptied: bounds its memory.
+MOST_BYTES = 128 << 20
 
 
 class Known(dict):
-    """What `made` gives for each key, kept until there are MOST_CACHED of them."""
+    """What `made` gives for each key, kept until they take MOST_BYTES; what would take a 64th of that alone is not kept."""
 
     def __init__(self, made: Callable):
-        self.made = made
+        self.made, self.held = made, 0
 
     def __missing__(self, key):
         got = self.made(key)
-        if len(self) >= MOST_CACHED:
+        size = getsizeof(key) + getsizeof(got) + 100
+        if 64 * size > MOST_BYTES:
+            return got
+        if self.held + size > MOST_BYTES:
             self.clear()
+            self.held = 0
         self[key] = got
+        self.held += size
         return got
 
 
@@ -77,6 +85,7 @@ class PrefixCounter:
         self.final = {t[: -len(END)] for t in self.ids if t.endswith(END) and (t in made or len(t) == 1 + len(END))}
         self.longest = max(map(len, [*self.plain, *self.final]))
         self.may: dict[tuple[str, str, bool], bool] = {}
+        self.held = 0
 
     def merged(self, letters: list[str]) -> list[str]:
         """BPE as it is defined: join the pair of least rank, leftmost first, until none is left."""
@@ -91,8 +100,10 @@ class PrefixCounter:
         key = (a, b, last)
         got = self.may.get(key)
         if got is None:
-            if len(self.may) > MOST_CACHED:
+            self.held += getsizeof(a) + getsizeof(b) + getsizeof(key) + 100
+            if self.held > MOST_BYTES:
                 self.may.clear()
+                self.held = 0
             letters = [*(a + b)]
             letters[-1] += END * last
             got = self.may[key] = self.merged(letters) == ([a, b + END * last] if a else [b + END * last])
@@ -168,8 +179,57 @@ class Counter(Words):
     def __init__(self, path: str):
         super().__init__(path)
         self.prefix = prefix_counter(path)
-        self.pieces = Known(lambda piece: 1 if piece in self.special else self.prefix.word(letters_of(piece))[0][-1])
-        self.words = Known(lambda word: sum(map(self.pieces.__getitem__, self.parts(word.decode()))))
+        #: The counts of a piece's prefixes, by byte; a special string has its own alone.
+        self.pieces = Known(lambda piece: array("I", [1] if piece in self.special else self.prefix.word(letters_of(piece))[0]))
+        self.words = Known(lambda word: sum(self.pieces[p][-1] for p in self.parts(word.decode())))
+        self.normal = Known(self.tokenizer.normalizer.normalize_str)
+
+    def total(self, pieces: Iterable[str]) -> int:
+        return sum(self.pieces[p][-1] for p in pieces)
+
+    def prefix_runs(self, word: str) -> Iterator[tuple[int, int]]:
+        """(i, count) of each prefix word[:i], in order.
+
+        Pieces before the cut are summed, and the piece that is cut has its stored counts. Cuts inside a special string,
+        and in parts that are not in normal form C, are counted anew from the last piece on.
+        """
+        done = at = 0
+        begin = before = 0  # where the last piece begins, and the count before it
+        for part in self.special_split.split(word) if "<|" in word else (word,):
+            made = [c.lower() for c in part] if part.isascii() else [self.normal[c] for c in part]
+            line = "".join(made)
+            special = part in self.special
+            if special or not part.isascii() and not (unicodedata.is_normalized("NFC", part) and regex.sub(" +", " ", line) == self.tokenizer.normalizer.normalize_str(part)):
+                for i in range(at + 1, at + len(part) + 1):
+                    n = before + self.count(word[begin:i].encode())
+                    yield i, n
+                if special:
+                    begin, before = at, done
+                done = n
+            else:
+                ends, i = [*accumulate(map(len, made))], 0
+                for found in PIECE.finditer(line):
+                    piece, (start, end) = found[0], found.span()
+                    while ends[i] <= start:
+                        i += 1
+                        yield at + i, done
+                    if start == (ends[i - 1] if i else 0):
+                        begin, before = at + i, done
+                    counts, size, seen = self.pieces[piece], 0, start
+                    contraction = piece[0] == "'" and piece[1:].isalpha()
+                    while i < len(ends) and ends[i] <= end:
+                        size += len(line[seen : ends[i]].encode())
+                        seen = ends[i]
+                        i += 1
+                        yield at + i, done + (self.total(PIECE.findall(line[start:seen])) if contraction else counts[size - 1])
+                    done += counts[-1]
+                for j in range(i, len(part)):
+                    yield at + j + 1, done
+            at += len(part)
+
+    def kept_inside(self, word: str, limit: int) -> int:
+        """Code points of the longest prefix of a word, shorter than it, of at most `limit` tokens; 0 if there is none."""
+        return max((i for i, n in self.prefix_runs(word) if n <= limit and i < len(word)), default=0)
 
     def count(self, text: bytes) -> int:
         return sum(map(self.words.__getitem__, self.split(text)))
@@ -220,8 +280,7 @@ def budget_prefix(c: Counter, raw: bytes, limit: int) -> int:
     for found in regex.finditer(r"[^\x20\x09-\x0D]+", text):
         n = c.count(found[0].encode())
         if used + n > limit:
-            word = found[0]
-            inside = max((i for i in range(1, len(word)) if used + c.count(word[:i].encode()) <= limit), default=0)
+            inside = c.kept_inside(found[0], limit - used)
             return found.start() + inside if inside else at
         used, at = used + n, found.end()
     return len(text)
