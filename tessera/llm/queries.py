@@ -31,7 +31,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,22 @@
-"""Passages that recur: confirmed once, then located in every text by sharded Aho-Corasick automata.
-
-A passage of `window` words that stands at two places is found at both by the same anchor: the phrase of ANCHOR words
-with the least hash inside it. So only anchors travel, about two per `window` words. Anchors that recur are confirmed
-on the words around them, recurring passages become the entries of automata sharded by anchor, and the surroundings
-of every recurring anchor, which together hold all places where a passage can stand, are streamed through them.
+"""Passages that recur: confirmed on distinct surroundings, compiled into sharded Aho-Corasick automata, located in all documents.
+
+Confirming. A window of `window` words that stands at two places is found at both by one anchor: the phrase of ANCHOR
+words with the least hash in it, so each window belongs to one anchor. Anchors that stand once are done. Of the others, equal surroundings are
+counted once. The windows around an anchor are taken in ranges of STEP offsets, which all hold the same core of words: a
+core that stands once holds no recurring window, and one whose windows are the same everywhere holds recurring ones only.
+The windows of all other cores are counted one by one. Every count is a partial aggregation, so no group meets in a task.
+
+Locating. Each recurring window has one representative place; the representative windows of a text that follow
+each other are a passage. Documents are dealt to shards, a shard is sent the passages that a class of its surroundings
+met, and all its documents are streamed through the automaton of these. The automaton holds tiles of a passage, one of which lies whole in
+each of its windows; a hit is extended along the passage, and extents of a window or more are spans.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -19,44 +25,49 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD_BASE, cut, drop, few, mixed, recorded, remove, runs, slices, span_hashes, word_hashes
+from .common import BASE, SPACE, WORD_BASE, Spans, cut, drop, few, mixed, runs, slices, tidy, word_hashes
 
-#: Words of an anchor, distinct surroundings of one anchor up to which they meet in one automaton, and those that an automaton holds.
-ANCHOR, MOST_MET, SHARD = 8, 4096, 4096
-#: Offsets of windows that meet by the words they share.
-STEP = 7
-OCCURRENCE = "anchor long, around long, id long, h long, pos int"
+#: Words of an anchor, and offsets of windows that share a core.
+ANCHOR, STEP = 8, 7
+#: Windows of one passage at most, and anchors in the documents of a shard on average.
+BLOCK, SHARD = 128, 50_000
+#: Partitions of documents at most; a partition may hold many shards, one after the other.
+MOST_PARTITIONS = 20_000
+#: Passages up to which a tile finds them itself; those of a tile with more are found by whole windows, which have one passage each.
+MOST_SHARED = 8
+PLACE = np.uint64((1 << 30) - 1)
+OCCURRENCE = "anchor long, around long, id long, h long, pos int, low int, high int"
 
 
-def sliding(x: np.ndarray, width: int, op: np.ufunc, pad: int) -> np.ndarray:
-    """op over x[i:i + width] for each i, with `pad` beyond the end."""
-    out = np.concatenate([x, np.full(width, pad, x.dtype)])
+def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of x[i:i + width] for each i that has so many."""
     have = 1
     while 2 * have <= width:
-        out = op(out[: len(out) - have], out[have:])
+        x = np.minimum(x[: len(x) - have], x[have:])
         have *= 2
-    if have < width:
-        out = op(out[: len(out) - (width - have)], out[width - have :])
-    return out[: len(x)]
-
-
-def anchors(h: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
-    """Indexes of words that begin an anchor: a phrase with the least hash in some window that lies in one text."""
-    n, wide = len(h), window - ANCHOR + 1
-    if n < window:
-        return np.zeros(0, np.int64)
-    starts = np.arange(n - ANCHOR + 1)
-    g = mixed(span_hashes(h, starts, starts + ANCHOR, WORD_BASE)) | np.uint64(1)
-    least = sliding(g, wide, np.minimum, (1 << 64) - 1)[: n - window + 1]
-    least = np.where(doc[: n - window + 1] == doc[window - 1 :], least, np.uint64(0))
-    # The greatest of the windows' minima that hold a phrase is its own hash if and only if it is the least of one.
-    back = np.concatenate([np.zeros(wide - 1, np.uint64), least])
-    best = sliding(back, wide, np.maximum, 0)[: len(g)]
-    return np.flatnonzero(best == g)
+    return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
+
+
+def anchors(phrase: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word of an anchor, first and last window that it is the anchor of), in order; phrase: hashes of all phrases.
+
+    The anchor of a window is its phrase with the least upper bits of the hash, the first of equal ones: a function of its words alone.
+    """
+    none = np.zeros(0, np.int64)
+    if len(doc) < window:
+        return none, none, none
+    n = len(doc) - window + 1
+    least = sliding_least((phrase & ~PLACE) | np.arange(len(phrase), dtype=np.uint64), window - ANCHOR + 1)
+    start = np.flatnonzero(doc[:n] == doc[window - 1 :])
+    if not len(start):
+        return none, none, none
+    at = (least[start] & PLACE).astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[start[1:]] != doc[start[:-1]])]))
+    return at[new], start[new], start[np.concatenate([new[1:] - 1, [len(start) - 1]])]
 
 
 def occurrences(docs: DataFrame, window: int) -> DataFrame:
-    """docs: id, h, text. One row per anchor: hashes of it and of the words around it, and the number of its first word."""
+    """docs: id, h, text. One row per anchor: hashes of it and of the words around it, the number of its first word, and the least and greatest offset to it of its windows."""
     reach = window - ANCHOR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,275 +76,329 @@ def occurrences(docs: DataFrame, window: int) -> DataFrame:
                 starts, ends, doc = runs(~SPACE[data], offsets)
                 if len(starts) < window:
                     continue
-                h = word_hashes(data, starts, ends)
-                at = anchors(h, doc, window)
-                first = np.searchsorted(doc, np.arange(rows.num_rows))
-                last = np.searchsorted(doc, np.arange(rows.num_rows), "right")
-                lo, hi = np.maximum(at - reach, first[doc[at]]), np.minimum(at + ANCHOR + reach, last[doc[at]])
-                name = mixed(span_hashes(h, at, at + ANCHOR, WORD_BASE)).view(np.int64)
-                around = mixed(mixed(span_hashes(h, lo, hi, WORD_BASE)) + ((at - lo) * 256 + (hi - at)).astype(np.uint64)).view(np.int64)
+                spans = Spans(word_hashes(data, starts, ends), WORD_BASE)
+                begin = np.arange(len(doc) - ANCHOR + 1)
+                phrase = mixed(spans(begin, begin + ANCHOR))
+                at, low, high = anchors(phrase, doc, window)
+                first = np.searchsorted(doc, np.arange(rows.num_rows))[doc[at]]
+                last = np.searchsorted(doc, np.arange(rows.num_rows), "right")[doc[at]]
+                lo, hi = np.maximum(at - reach, first), np.minimum(at + ANCHOR + reach, last)
+                around = mixed(mixed(spans(lo, hi)) + ((at - lo) * 4096 + (hi - at)).astype(np.uint64))
                 own = pa.array(doc[at])
-                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(around), rows.column(0).take(own), rows.column(1).take(own), pa.array((at - first[doc[at]]).astype(np.int32))], ["anchor", "around", "id", "h", "pos"])
+                small = [pa.array(x.astype(np.int32)) for x in (at - first, at - high, at - low)]
+                yield pa.RecordBatch.from_arrays([pa.array(phrase[at].view(np.int64)), pa.array(around.view(np.int64)), rows.column(0).take(own), rows.column(1).take(own), *small], [x.split()[0] for x in OCCURRENCE.split(", ")])
 
-    return docs.select("id", "h", "text").mapInArrow(run, OCCURRENCE)
+    return docs.select("id", "h", "text").mapInArrow(tidy(run), OCCURRENCE)
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """docs: id, h, text and others, with the text compressed to z, as it goes through a shuffle."""
-
+    """docs: text and others, with the text compressed to z, as it goes through shuffles."""
     names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in few(batches, 2048):
             z = pa.array([squeeze.compress(x.as_buffer().to_pybytes()) for x in batch.column(len(names)).cast(pa.large_binary())], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], z], [*names, "z"])
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*names, "text").mapInArrow(run, f"{kinds}, z binary")
+    return docs.select(*names, "text").mapInArrow(tidy(run), f"{kinds}, z binary")
+
+
+CORES = "anchor long, around long, n long, id long, h long, pos int, core_a long, core_b long, low int, windows array<bigint>"
 
 
-def surroundings(packed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(anchor, around, n, lead, words) for wanted (id, h, list of pos, anchor, around, n): the words around each anchor and where it stands in them."""
+def cores(texts: DataFrame, classes: DataFrame, window: int) -> DataFrame:
+    """One row for each class of surroundings and range of STEP offsets: the core that the range's windows share, their least offset and their hashes.
+
+    texts: id, h, z. classes: anchor, around, n and one place of the class (id, h, pos, low, high). The core's name has 128 bits and tells the range; the hash of a
+    window counts beside it. Texts of equal rows come out once each, with classes that recur anyway.
+    """
     reach = window - ANCHOR
+    wanted = classes.groupBy(F.col("id").alias("wid"), F.col("h").alias("wh")).agg(F.collect_list(F.struct("anchor", "around", "n", "pos", "low", "high")).alias("found"))
+
+    def rows_of(texts: list[bytes], ids: pa.Array, hs: pa.Array, found: pa.ListArray) -> Iterator[pa.RecordBatch]:
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+        starts, ends, doc = runs(~SPACE[data], offsets)
+        h = word_hashes(data, starts, ends)
+        one, two = Spans(h, WORD_BASE), Spans(h, BASE)
+        flat = found.flatten()
+        anchor, around, n, pos, low, high = (flat.field(i).to_numpy() for i in range(6))
+        own = np.repeat(np.arange(len(texts)), found.value_lengths().to_numpy())
+        p = np.searchsorted(doc, np.arange(len(texts)))[own] + pos
+        for first in range(0, reach + 1, STEP):
+            last = min(first + STEP - 1, reach)
+            a, b = np.maximum(low, first), np.minimum(high, last)
+            k = np.flatnonzero(a <= b)
+            if not len(k):
+                continue
+            at, a, b = p[k], a[k], b[k]
+            begin, end = at - first, at - last + window
+            name = [mixed(s(begin, end) + np.uint64(first * 64 + last + 1)).view(np.int64) for s in (one, two)]
+            each = np.arange(first, last + 1)
+            there = (each >= a[:, None]) & (each <= b[:, None])
+            begins = (at[:, None] - each)[there]
+            windows = mixed(one(begins, begins + window)).view(np.int64)
+            bounds = np.concatenate([[0], np.cumsum(b - a + 1)]).astype(np.int32)
+            take = pa.array(own[k])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor[k]), pa.array(around[k]), pa.array(n[k]), ids.take(take), hs.take(take), pa.array(pos[k]), *map(pa.array, name), pa.array(a.astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(windows))],
+                [x.split()[0] for x in CORES.split(", ")],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = zstandard.ZstdDecompressor()
-        for batch in few(batches):
-            out: list[tuple] = []
-            for z, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = plain.decompress(z).split()
-                for x in found:
-                    lo, hi = max(0, x["pos"] - reach), min(len(words), x["pos"] + ANCHOR + reach)
-                    out.append((x["anchor"], x["around"], x["n"], x["pos"] - lo, x["kin"], b" ".join(words[lo:hi])))
-            if out:
-                a, b, n, lead, kin, text = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(lead, pa.int32()), pa.array(kin, pa.int64()), pa.array(text, pa.binary())], ["anchor", "around", "n", "lead", "kin", "words"])
+        for batch in few(batches, 2048):
+            held: list[bytes] = []
+            size = begin = 0
+            for i, z in enumerate(batch.column(2)):
+                held.append(plain.decompress(z.as_buffer()))
+                size += len(held[-1]) + 1
+                if size > 1 << 21 or i + 1 == batch.num_rows:
+                    part = batch.slice(begin, i + 1 - begin)
+                    yield from rows_of(held, part.column(0), part.column(1), part.column(3))
+                    held, size, begin = [], 0, i + 1
 
-    joined = packed.join(wanted, packed.id.eqNullSafe(wanted.wid) & (packed.h == wanted.wh)).select("z", "found")
-    return joined.mapInArrow(run, "anchor long, around long, n long, lead int, kin long, words binary")
+    joined = texts.join(wanted, (texts.id == wanted.wid) & (texts.h == wanted.wh)).select("id", "h", "z", "found")
+    return joined.mapInArrow(tidy(run), CORES)
 
 
-def shard_spans(group: list[tuple], window: int) -> Iterator[tuple[int, int, int, int]]:
-    """(anchor, around, lo, hi) relative to the anchor, for rows (anchor, around, n, lead, words) with whole groups of anchors.
+def confirmed(named: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """(passages, met) of recurring windows, from rows of cores().
 
-    Each word of the shard becomes one letter, so passages are strings and the automaton reads a word at a step.
+    passages: (id, h, lo, hi), the representative places of recurring windows, each window once: those that start at the words lo to hi.
+    met: (anchor, around, id, h, lo, hi), the representatives of the recurring windows of each class of surroundings.
     """
-    letter: dict[bytes, str] = {}
-    rows: dict[tuple[int, int], tuple[int, int, str]] = {}
-    for anchor, around, n, lead, words in group:
-        spelled = "".join([letter.get(w) or letter.setdefault(w, chr(256 + len(letter) + (2048 if len(letter) >= 0xD700 else 0))) for w in words.split(b" ")])
-        rows[anchor, around] = (n, lead, spelled)
-    # A window counts where it stands around one anchor, so that one place is not taken for two.
-    seen: Counter[tuple[int, int, str]] = Counter()
-    for (anchor, _), (n, lead, s) in rows.items():
-        for i in range(len(s) - window + 1):
-            seen[anchor, i - lead, s[i : i + window]] += n
-    automaton = ahocorasick.Automaton()
-    for (anchor, _), (_, lead, s) in rows.items():
-        begin = None
-        for i in range(len(s) - window + 2):
-            recurs = i <= len(s) - window and seen[anchor, i - lead, s[i : i + window]] > 1
-            if recurs and begin is None:
-                begin = i
-            elif not recurs and begin is not None:
-                passage = s[begin : i - 1 + window]
-                automaton.add_word(passage, len(passage))
-                begin = None
-    if not len(automaton):
-        return
-    automaton.make_automaton()
-    for (anchor, around), (_, lead, s) in rows.items():
-        lo = hi = -1
-        found = sorted((end + 1 - length, end + 1) for end, length in automaton.iter(s))
-        for a, b in found:
-            if a > hi:
-                if hi > lo:
-                    yield anchor, around, lo - lead, hi - lead
-                lo, hi = a, b
-            else:
-                hi = max(hi, b)
-        if hi > lo:
-            yield anchor, around, lo - lead, hi - lead
-
+    named = named.withColumn("whole", F.xxhash64("low", "windows"))
+    place = F.struct("id", "h", "pos", "low", F.size("windows").alias("size"))
+    core = ["core_a", "core_b"]
+    kinds = named.groupBy(*core, "whole").agg(F.sum("n").alias("n"), F.min(place).alias("at"))
+    likes = cut(kinds.groupBy(*core).agg(F.sum("n").alias("total"), F.count("*").alias("wholes"), F.min("at").alias("at")).where("total > 1").drop("total"))
+    found = cut(named.drop("whole").join(likes, core))
+    ends = [F.col("at.id").alias("id"), F.col("at.h").alias("h"), (F.col("at.pos") - F.col("at.low") - F.col("at.size") + 1).alias("lo"), (F.col("at.pos") - F.col("at.low")).alias("hi")]
+    each = found.where("wholes > 1").select("anchor", "around", "n", "id", "h", "pos", "low", *core, F.posexplode("windows").alias("o", "name")).withColumn("start", F.col("pos") - F.col("low") - F.col("o")).withColumn("o", F.col("low") + F.col("o"))
+    names = cut(each.groupBy(*core, "o", "name").agg(F.sum("n").alias("n"), F.min(F.struct("id", "h", "start")).alias("at")).where("n > 1").drop("n"))
+    one = [F.col("at.id").alias("id"), F.col("at.h").alias("h"), F.col("at.start").alias("lo"), F.col("at.start").alias("hi")]
+    passages = likes.where("wholes = 1").select(*ends).unionByName(names.select(*one))
+    met = found.where("wholes = 1").select("anchor", "around", *ends).unionByName(each.select("anchor", "around", *core, "o", "name").join(names, [*core, "o", "name"]).select("anchor", "around", *one))
+    return passages, met
 
-SPAN = "anchor long, around long, lo int, hi int"
 
+def in_blocks(spans: DataFrame) -> DataFrame:
+    """Rows with spans lo to hi, which have fewer windows than a block, cut at the ends of blocks, with their block."""
+    block = lambda c: F.floor(F.col(c) / BLOCK).cast("int")
+    both = spans.withColumn("block", F.explode(F.array_distinct(F.array(block("lo"), block("hi")))))
+    return both.withColumn("lo", F.greatest("lo", F.col("block") * BLOCK)).withColumn("hi", F.least("hi", F.col("block") * BLOCK + BLOCK - 1))
 
-def spans_batch(rows: list[tuple]) -> pa.RecordBatch:
-    a, b, lo, hi = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["anchor", "around", "lo", "hi"])
 
+PASSAGE = "id long, h long, block int, words binary"
 
-HOT = "anchor long, around long, n long, low int, high int, shared binary, whole binary, windows array<binary>"
 
+def passage_rows(texts: DataFrame, passages: DataFrame, window: int) -> DataFrame:
+    """(id, h, block, words): the passages of each block of each representative text, words joined by one space, passages by a line feed."""
+    spans = in_blocks(passages).groupBy(F.col("id").alias("wid"), F.col("h").alias("wh")).agg(F.collect_list(F.struct("block", "lo", "hi")).alias("found"))
 
-def parts_of(words: list[bytes], lead: int, window: int) -> Iterator[tuple[int, int, bytes, bytes, list[bytes]]]:
-    """(low, high, shared, whole, windows) of surroundings, for each range of STEP offsets that a window may have to the anchor.
-
-    Windows whose offsets lie in a range all hold the words that `shared` names, and no others than `whole` names; windows are their own names,
-    by offset from low to high. Names are 128-bit hashes.
-    """
-    reach = window - ANCHOR
-    right = len(words) - lead - ANCHOR
-    named = lambda of, a, b: hashlib.blake2b(b" ".join([of, *words[lead - a : lead + ANCHOR + b]]), digest_size=16).digest()
-    for first in range(0, reach + 1, STEP):
-        last = min(first + STEP - 1, reach)
-        low, high = max(first, reach - right), min(last, lead)
-        if low <= high:
-            yield low, high, named(b"%d" % first, first, reach - last), named(b"%d-%d" % (low, high), high, reach - low), [named(b"", o, reach - o) for o in range(low, high + 1)]
-
-
-def located(near: DataFrame, window: int) -> DataFrame:
-    """(anchor, around, spans): spans (lo, hi) of recurring passages in the surroundings (anchor, around, n, lead, kin, words), from the anchor.
-
-    Anchors with up to MOST_MET distinct surroundings go whole to an automaton. The surroundings of the others, whose number
-    grows with the corpus, meet by the words that a range of windows shares, over all tasks: most meet no other and are
-    done; those that meet only their like recur whole; up to MOST_MET of the rest are counted together, and of more each
-    window is counted by itself over all tasks. Spans are the same either way.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = zstandard.ZstdDecompressor()
+        for batch in few(batches):
+            own, blocks, made = [], [], []
+            lists = batch.column(3)
+            bounds, flat = lists.offsets.to_numpy(), lists.values
+            block, lo, hi = (flat.field(i).to_numpy() for i in range(3))
+            for i, z in enumerate(batch.column(2)):
+                words = plain.decompress(z.as_buffer()).split()
+                a, b = bounds[i], bounds[i + 1]
+                order = a + np.lexsort((lo[a:b], block[a:b]))
+                last = None
+                for k, x, y in zip(block[order].tolist(), lo[order].tolist(), hi[order].tolist(), strict=True):
+                    if last is None or k != last[0] or x > last[2] + 1:
+                        if last:
+                            own.append(i), blocks.append(last[0]), made.append(b" ".join(words[last[1] : last[2] + window]))
+                        last = [k, x, y]
+                    else:
+                        last[2] = max(last[2], y)
+                if last:
+                    own.append(i), blocks.append(last[0]), made.append(b" ".join(words[last[1] : last[2] + window]))
+            take = pa.array(own, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(blocks, pa.int32()), pa.array(made, pa.binary())], [x.split()[0] for x in PASSAGE.split(", ")])
+
+    joined = texts.dropDuplicates(["id", "h"]).join(spans, (F.col("id") == F.col("wid")) & (F.col("h") == F.col("wh"))).select("id", "h", "z", "found")
+    return joined.mapInArrow(tidy(run), PASSAGE).groupBy("id", "h", "block").agg(F.array_join(F.collect_list(F.col("words").cast("string")), "\n").cast("binary").alias("words"))
+
+
+class Passages:
+    """The automaton of a shard's passages.
+
+    A word is two letters, the first from an alphabet of its own, so that nodes have few branches and matches begin with a word.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        for batch in few(batches, 2048):
-            out: list[tuple] = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if len(group) >= SHARD and row[0] != group[-1][0]:
-                    out += shard_spans(group, window)
-                    group = []
-                group.append(row)
-            yield spans_batch(out)
-        yield spans_batch(list(shard_spans(group, window)))
-
-    def divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
-        for batch in few(batches, 1024):
-            out = [(anchor, around, n, *part) for anchor, around, n, lead, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True) for part in parts_of(text.split(b" "), lead, window)]
-            columns = zip(*out, strict=True) if out else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in HOT.split(", ")])
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-
-        def done() -> Iterator[tuple[int, int, int, int]]:
-            seen: Counter[tuple[int, bytes]] = Counter()
-            for _, _, _, n, low, windows in group:
-                for o, w in enumerate(windows, low):
-                    seen[o, w] += n
-            for _, anchor, around, _, low, windows in group:
-                for o, w in enumerate(windows, low):
-                    if seen[o, w] > 1:
-                        yield anchor, around, -o, window - o
-            group.clear()
-
-        for batch in few(batches, 1024):
-            out: list[tuple[int, int, int, int]] = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if group and row[0] != group[0][0]:
-                    out += done()
-                group.append(row)
-            yield spans_batch(out)
-        yield spans_batch(list(done()))
-
-    met = near.where(F.col("kin") <= MOST_MET).select("anchor", "around", "n", "lead", "words")
-    shards = met.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, SPAN)
-    hot = cut(near.where(F.col("kin") > MOST_MET).select("anchor", "around", "n", "lead", "words").mapInArrow(divided, HOT))
-    likes = hot.groupBy("shared", "whole").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).groupBy("shared").agg(F.sum("n").alias("total"), F.count("*").alias("wholes"), F.sum("rows").alias("rows")).where("total > 1")
-    found = cut(hot.join(likes, "shared").drop("total", "whole"))
-    alike = found.where("wholes = 1").select("anchor", "around", (-F.col("high")).alias("lo"), (window - F.col("low")).alias("hi"))
-    together = found.where((F.col("wholes") > 1) & (F.col("rows") <= MOST_MET)).select("shared", "anchor", "around", "n", "low", "windows")
-    several = together.repartition("shared").sortWithinPartitions("shared").mapInArrow(counted, SPAN)
-    each = found.where((F.col("wholes") > 1) & (F.col("rows") > MOST_MET)).select("anchor", "around", "n", "low", F.posexplode("windows").alias("o", "passage")).withColumn("o", F.col("o") + F.col("low"))
-    recurring = each.groupBy("o", "passage").agg(F.sum("n").alias("n")).where("n > 1").select("o", "passage")
-    single = each.join(recurring, ["o", "passage"]).select("anchor", "around", (-F.col("o")).alias("lo"), (window - F.col("o")).alias("hi"))
-    return shards.unionByName(alike).unionByName(several).unionByName(single).groupBy("anchor", "around").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-
-
-def repeated_spans(rows: DataFrame, window: int = 35) -> DataFrame:
-    """(wid, wh, found) for rows (id, h, text): found lists (pos, spans), word spans from word pos on that windows of `window` words cover which stand at another place too."""
-    reach = window - ANCHOR
-    first = cut(occurrences(rows, window))
-    # Distinct surroundings first: copies meet before they travel further.
-    kinds = first.groupBy("anchor", "around").agg(F.count("*").alias("n"))
-    recurring = cut(kinds.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("kin")).where("total > 1").select("anchor", "kin"))
-    occ = cut(first.join(recurring, "anchor"))
-    drop(first, recurring)
-    # One kind of surroundings: all of it recurs.
-    alike = occ.where("kin = 1").select("id", "h", "pos", F.array(F.struct(F.lit(-reach).alias("lo"), F.lit(ANCHOR + reach).alias("hi"))).alias("spans"))
-    several = occ.where("kin > 1")
-    one = several.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "pos")).alias("at"), F.max("kin").alias("kin"))
-    wanted = one.groupBy(F.col("at.id").alias("wid"), F.col("at.h").alias("wh")).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "anchor", "around", "n", "kin")).alias("found"))
-    near = cut(surroundings(packed_texts(rows), wanted, window))
-    helpers: list[str] = []
-    with recorded(helpers):
-        spans = located(near, window)
-    spans = cut(spans)
-    drop(near)
-    remove(rows.sparkSession, *helpers)
-    each = several.join(spans, ["anchor", "around"]).select("id", "h", "pos", "spans")
-    # Equal rows name the same places, which a set holds once.
-    return alike.unionByName(each).groupBy(F.col("id").alias("wid"), F.col("h").alias("wh")).agg(F.collect_set(F.struct("pos", "spans")).alias("found"))
-
-
-def united(found: list[dict] | None, n: int) -> list[tuple[int, int]]:
-    """Spans (lo, hi) of words 0 to n, joined where they touch."""
-    out: list[tuple[int, int]] = []
-    for lo, hi in sorted((max(0, x["pos"] + y["lo"]), min(n, x["pos"] + y["hi"])) for x in found or () for y in x["spans"]):
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], hi))
+    UNKNOWN = "\x01\x02"
+
+    def __init__(self, window: int):
+        self.window, self.tile = window, (window + 1) // 2
+        self.codes: dict[bytes, str] = {}
+        self.passages: list[str] = []
+        self.automaton = None
+
+    def add(self, words: list[bytes]) -> None:
+        codes = self.codes
+        for w in words:
+            if w not in codes:
+                codes[w] = chr(0x2000 + len(codes) // 256) + chr(0x100 + len(codes) % 256)
+        self.passages.append("".join([codes[w] for w in words]))
+
+    def compile(self) -> None:
+        """Tiles begin at every `tile` words of a passage, so that each window holds one; (passage, word) for each."""
+        wide, tile = 2 * self.window, 2 * self.tile
+        patterns: dict[str, list[tuple[int, int]]] = {}
+        for k, p in enumerate(self.passages):
+            for t in range(0, len(p) - tile + 1, tile):
+                patterns.setdefault(p[t : t + tile], []).append((k, t))
+        for pattern in [x for x, held in patterns.items() if len(held) > MOST_SHARED]:
+            for k, t in patterns.pop(pattern):
+                p = self.passages[k]
+                for y in range(max(0, t + tile - wide), min(t, len(p) - wide) + 1, 2):
+                    patterns.setdefault(p[y : y + wide], []).append((k, y))
+        self.automaton = ahocorasick.Automaton()
+        for pattern, held in patterns.items():
+            self.automaton.add_word(pattern, (len(pattern), held))
+        if patterns:
+            self.automaton.make_automaton()
+
+    def spans(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """Spans of words that recurring windows cover, in order and apart."""
+        if not self.passages or len(words) < self.window:
+            return []
+        if self.automaton is None:
+            self.compile()
+        s = "".join(map(self.codes.get, words, repeat(self.UNKNOWN)))
+        passages, wide = self.passages, 2 * self.window
+        done: dict[tuple[int, int], int] = {}
+        found: set[tuple[int, int]] = set()
+        for end, (size, held) in self.automaton.iter(s):
+            x = end + 1 - size
+            for k, t in held:
+                if done.get((k, x - t), 0) > x:
+                    continue
+                p = passages[k]
+                lo = x - same_tail(p, t, s, x)
+                hi = x + same_head(p, t, s, x)
+                done[k, x - t] = hi
+                if hi - lo >= wide:
+                    found.add((lo // 2, hi // 2))
+        out: list[tuple[int, int]] = []
+        for lo, hi in sorted(found):
+            if out and lo <= out[-1][1]:
+                out[-1] = (out[-1][0], max(out[-1][1], hi))
+            else:
+                out.append((lo, hi))
+        return out
+
+
+def same_head(p: str, t: int, s: str, x: int) -> int:
+    """Letters that p from t on and s from x on begin with alike, in whole words."""
+    n = min(len(p) - t, len(s) - x)
+    if p[t : t + n] == s[x : x + n]:
+        return n
+    have = 0
+    while have < n:
+        more = (have + n + 1) // 2
+        if p[t + have : t + more] == s[x + have : x + more]:
+            have = more
         else:
-            out.append((lo, hi))
-    return out
-
-
-def keyed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(body).alias("h"), body.alias("text"))
+            n = more - 1
+    return have // 2 * 2
+
+
+def same_tail(p: str, t: int, s: str, x: int) -> int:
+    """Letters that p up to t and s up to x end with alike, in whole words."""
+    n = min(t, x)
+    if p[t - n : t] == s[x - n : x]:
+        return n
+    have = 0
+    while have < n:
+        more = (have + n + 1) // 2
+        if p[t - more : t - have] == s[x - more : x - have]:
+            have = more
+        else:
+            n = more - 1
+    return have // 2 * 2
 
 
-def kept_rows(docs: DataFrame, window: int, text: str, id_col: str, carried: Column) -> DataFrame:
-    """(row, n_words, n_removed, kept_sha256, kept_text), one per row of docs; row is `carried`."""
-    rows = keyed(docs, text, id_col)
-    spans = repeated_spans(rows, window)
-    packed = packed_texts(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("h"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), carried.alias("row")))
-    joined = packed.join(spans, packed.id.eqNullSafe(spans.wid) & (packed.h == spans.wh), "left").select("row", "z", "found")
+def located(texts: DataFrame, delivered: DataFrame, shard: Column, partitions: int, window: int, whole: bool) -> DataFrame:
+    """(row, n_words, n_removed, and kept_text if `whole`, else kept_sha256) of texts (id, h, row, z): each shard's passages (shard, words) make its automaton, then all its texts are streamed through it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = zstandard.ZstdDecompressor()
+        now, held = None, Passages(window)
         for batch in few(batches):
-            out: list[tuple] = []
-            for z, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = plain.decompress(z)
+            own, counts, removed, made = [], [], [], []
+            for i, (number, kind, z) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
+                if number != now:
+                    now, held = number, Passages(window)
+                if kind == 0:
+                    for passage in z.as_buffer().to_pybytes().split(b"\n"):
+                        held.add(passage.split(b" "))
+                    continue
+                raw = plain.decompress(z.as_buffer())
                 words = raw.split()
-                gone = united(found, len(words))
-                kept, at = [], 0
-                for lo, hi in gone:
-                    kept += words[at:lo]
-                    at = hi
-                kept += words[at:]
-                out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), stripped(raw, gone) if gone else raw))
-            n, removed, sha, body = zip(*out, strict=True) if out else ((),) * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(body, pa.binary()).cast(pa.string())], ["row", "n_words", "n_removed", "kept_sha256", "kept_text"])
-
-    kind = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(run, f"row {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+                gone = held.spans(words)
+                own.append(i), counts.append(len(words)), removed.append(sum(hi - lo for lo, hi in gone))
+                if whole:
+                    made.append(stripped(raw, gone) if gone else raw)
+                else:
+                    for lo, hi in gone[::-1]:
+                        del words[lo:hi]
+                    made.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            last = pa.array(made, pa.binary()).cast(pa.string()) if whole else pa.array(made, pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(3).take(pa.array(own, pa.int64())), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), last], ["row", "n_words", "n_removed", "made"])
+
+    kind = texts.schema["row"].dataType.simpleString()
+    left = delivered.select("shard", F.lit(0).alias("kind"), F.col("words").alias("z"), F.lit(None).cast(kind).alias("row"))
+    right = texts.select(shard.alias("shard"), F.lit(1).alias("kind"), "z", "row")
+    ordered = left.unionByName(right).repartition(partitions, "shard").sortWithinPartitions("shard", "kind")
+    made = ordered.mapInArrow(tidy(run), f"row {kind}, n_words long, n_removed long, made string")
+    return made.withColumnRenamed("made", "kept_text" if whole else "kept_sha256")
+
+
+def kept_rows(docs: DataFrame, window: int, text: str, id_col: str, carried: Column, whole: bool) -> DataFrame:
+    """(row, n_words, n_removed, kept_text or kept_sha256), one per row of docs; row is `carried`."""
+    if window < ANCHOR:
+        raise ValueError(f"a window of {window} words; {ANCHOR} at least are needed")
+    body, number = F.coalesce(F.col(text).cast("string"), F.lit("")), F.col(id_col).cast("long")
+    rows = docs.select(F.coalesce(number, F.lit(0)).alias("id"), F.xxhash64(body, number.isNull()).alias("h"), carried.alias("row"), body.alias("text"))
+    first = cut(occurrences(rows, window))
+    recurring = first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    occ = cut(first.join(recurring, "anchor", "left_semi"))
+    drop(first)
+    shards = max(1, -(-occ.count() // SHARD))
+    shard = F.pmod(F.xxhash64("id", "h"), F.lit(shards)).cast("int")
+    classes = occ.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "pos", "low", "high")).alias("at")).select("anchor", "around", "n", "at.*")
+    texts = cut(packed_texts(rows))
+    named = cut(cores(texts, classes, window))
+    passages, met = confirmed(named, window)
+    asked = in_blocks(met).select("anchor", "around", "id", "h", "block").distinct()
+    ways = asked.join(occ.select("anchor", "around", shard.alias("shard")).distinct(), ["anchor", "around"]).select("id", "h", "block", "shard").distinct()
+    delivered = cut(passage_rows(texts, passages, window).join(ways, ["id", "h", "block"]).select("shard", "words"))
+    drop(occ, named)
+    return located(texts, delivered, shard, min(shards, MOST_PARTITIONS), window, whole)
 
 
 def without_repeats(docs: DataFrame, window: int = 35, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), kept_text.
+    """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space).
 
-    kept_text is the text without the removed words and the white space after each span; the text itself if none goes.
     Null texts count as empty: no words. Windows are judged on the input as it is, so copies of a text lose all their
     words if it has a window at all. Equal rows are copies of each other and each come out. An empty table gives no rows.
     """
-    found = kept_rows(docs, window, text, id_col, F.struct(F.col(id_col).cast("long").alias("doc_id")))
-    return found.select("row.doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
+    found = kept_rows(docs, window, text, id_col, F.struct(F.col(id_col).cast("long").alias("doc_id")), False)
+    return found.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def replaced(docs: DataFrame, window: int = 35, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs with kept_text for the text; null texts become empty."""
+    """docs with each text less its removed words and the white space after each span; a text that loses none stays as it is, null texts become empty."""
     others = [c for c in docs.columns if c != text]
-    found = kept_rows(docs, window, text, id_col, F.struct(*(F.col(c) for c in others)))
+    found = kept_rows(docs, window, text, id_col, F.struct(*(F.col(c) for c in others)), True)
     return found.select(*(F.col("kept_text").alias(text) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
 
 

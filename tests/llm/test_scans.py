@@ -162,10 +162,11 @@ def repeats_by_hand(texts, window):
     return out
 
 
-@pytest.mark.parametrize("most_met", [repeats.MOST_MET, 3, 1])
-def test_repeats(spark, sf_dir, texts, monkeypatch, most_met):
-    monkeypatch.setattr(repeats, "MOST_MET", most_met)
-    monkeypatch.setattr(repeats, "SHARD", 50)
+@pytest.mark.parametrize(("shard", "block", "most_shared"), [(repeats.SHARD, repeats.BLOCK, repeats.MOST_SHARED), (50, 8, 1)])
+def test_repeats(spark, sf_dir, texts, monkeypatch, shard, block, most_shared):
+    monkeypatch.setattr(repeats, "SHARD", shard)
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    monkeypatch.setattr(repeats, "MOST_SHARED", most_shared)
     ids = sorted(texts)
     want = dict(zip(ids, repeats_by_hand([texts[i] for i in ids], 35), strict=True))
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in q.op6_repeats(spark, sf_dir).collect()} == want
