@@ -80,9 +80,11 @@ def remove(spark: SparkSession, *paths: str) -> None:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Removes the files of tables from cut() that no later plan reads."""
+    """Removes the files of tables from cut() that no later plan reads, and the shuffle files of finished jobs, which Spark frees when their plans are collected."""
     for t in tables:
         remove(t.sparkSession, _paths[t])
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def with_row_key(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -31,6 +31,8 @@ from .common import BASE, SPACE, WORD_BASE, Spans, cut, drop, few, mixed, runs,
 ANCHOR, STEP = 8, 7
 #: Windows of one passage at most, and anchors in the documents of a shard on average.
 BLOCK, SHARD = 128, 50_000
+#: Anchors that hold more than one in HOT of all occurrences each, so HOT at most, are broadcast.
+HOT = 2000
 #: Partitions of documents at most; a partition may hold many shards, one after the other.
 MOST_PARTITIONS = 20_000
 #: Passages up to which a tile finds them itself; those of a tile with more are found by whole windows, which have one passage each.
@@ -91,6 +93,16 @@ def occurrences(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("id", "h", "text").mapInArrow(tidy(run), OCCURRENCE)
 
 
+def recurring_only(first: DataFrame) -> DataFrame:
+    """The occurrences of anchors that stand more than once. Those of over a HOT-th of all, HOT at most, are broadcast, so that no task gets all of one."""
+    recurring = cut(first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = F.broadcast(recurring.where(F.col("n") * HOT > first.count()).select("anchor"))
+    rest = first.join(hot, "anchor", "left_anti").join(recurring.select("anchor"), "anchor", "left_semi")
+    occ = cut(first.join(hot, "anchor", "left_semi").unionByName(rest))
+    drop(recurring)
+    return occ
+
+
 def packed_texts(docs: DataFrame) -> DataFrame:
     """docs: text and others, with the text compressed to z, as it goes through shuffles."""
     names = [c for c in docs.columns if c != "text"]
@@ -369,8 +381,7 @@ def kept_rows(docs: DataFrame, window: int, text: str, id_col: str, carried: Col
     body, number = F.coalesce(F.col(text).cast("string"), F.lit("")), F.col(id_col).cast("long")
     rows = docs.select(F.coalesce(number, F.lit(0)).alias("id"), F.xxhash64(body, number.isNull()).alias("h"), carried.alias("row"), body.alias("text"))
     first = cut(occurrences(rows, window))
-    recurring = first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    occ = cut(first.join(recurring, "anchor", "left_semi"))
+    occ = recurring_only(first)
     drop(first)
     shards = max(1, -(-occ.count() // SHARD))
     shard = F.pmod(F.xxhash64("id", "h"), F.lit(shards)).cast("int")
@@ -380,8 +391,10 @@ def kept_rows(docs: DataFrame, window: int, text: str, id_col: str, carried: Col
     passages, met = confirmed(named, window)
     asked = in_blocks(met).select("anchor", "around", "id", "h", "block").distinct()
     ways = asked.join(occ.select("anchor", "around", shard.alias("shard")).distinct(), ["anchor", "around"]).select("id", "h", "block", "shard").distinct()
-    delivered = cut(passage_rows(texts, passages, window).join(ways, ["id", "h", "block"]).select("shard", "words"))
+    ways = cut(ways)
     drop(occ, named)
+    delivered = cut(passage_rows(texts, passages, window).join(ways, ["id", "h", "block"]).select("shard", "words"))
+    drop(ways)
     return located(texts, delivered, shard, min(shards, MOST_PARTITIONS), window, whole)
 
 

@@ -189,6 +189,27 @@ def test_repeats_of_small_alphabets(spark):
         assert [got[i] for i in range(len(texts))] == repeats_by_hand(texts, window)
 
 
+@pytest.mark.parametrize("most_shared", [8, 1])
+def test_passages_find_every_window(monkeypatch, most_shared):
+    monkeypatch.setattr(repeats, "MOST_SHARED", most_shared)
+    rng = random.Random(5)
+    for window in (8, 9, 12):
+        texts = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(0, 60))] for _ in range(12)]
+        texts += [t[5:40] + texts[0] for t in texts[:6]]
+        seen = Counter(tuple(t[i : i + window]) for t in texts for i in range(len(t) - window + 1))
+        held, told = repeats.Passages(window), set()
+        for t in texts:
+            for i in range(len(t) - window + 1):
+                w = tuple(t[i : i + window])
+                if seen[w] > 1 and w not in told:
+                    told.add(w)
+                    held.add(list(w))
+        for t in texts:
+            want = {i + k for i in range(len(t) - window + 1) if seen[tuple(t[i : i + window])] > 1 for k in range(window)}
+            spans = held.spans([*t])
+            assert {i for lo, hi in spans for i in range(lo, hi)} == want and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
 def test_repeats_odd(spark, odd_docs, no_docs):
     rows = odd_docs.collect()
     want = Counter(zip([r.doc_id for r in rows], repeats_by_hand([r.text for r in rows], 35), strict=True))
