@@ -294,3 +294,41 @@ def test_neighbours_odd_vectors(spark):
     assert got[550] == [0, 1, 2, 3, 4]
     assert neighbours.nearest(df.where("vec_id < 0"), "id % 50 = 0").count() == 0
     assert neighbours.nearest(df.where("vec_id in (200, 250)"), "id % 50 = 0").count() == 2
+
+
+def test_neighbours_of_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 0.0, 1.0]), (1, [0.0, 0.0, 1.0]), (50, [1.0, 0.1, 0.0]), (100, [1e200, 1e199, 0.0])]
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 3)) for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id % 50 = 0").orderBy("query_id", "rank").collect()]
+    assert got == [(50, 1, 100, 1.0), (50, 2, 1, 0.995), (50, 3, 1, 0.0), (100, 1, 50, 1.0), (100, 2, 1, 0.995), (100, 3, 1, 0.0)]
+
+
+def test_neighbours_in_blocks_and_parallel_vectors(spark, monkeypatch):
+    """Small leaves and blocks, all leaves visited: the answer is exact, ties included."""
+    for name, n in (("LEAF", 8), ("BLOCK_ROWS", 20), ("BLOCK_QUERIES", 7)):
+        monkeypatch.setattr(neighbours, name, n)
+    rng = np.random.default_rng(4)
+    vectors = [*rng.integers(-2, 3, (150, 3)).astype(float), *(np.array([1.0, 2.0, 2.0]) * 2.0 ** rng.integers(-3, 4) for _ in range(150))]
+    rows = [(i * 5, v.tolist()) for i, v in enumerate(vectors) if v.any()]
+    got = defaultdict(list)
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id % 50 = 0", leaves=10**6).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    want = neighbours_by_hand([i for i, _ in rows], [v for _, v in rows], [i for i, _ in rows if i % 50 == 0], 5)
+    assert {i: [j for j, _ in v] for i, v in got.items()} == {i: [j for _, j in v] for i, v in want.items()}
+
+
+def test_clustered_vectors_need_few_leaves():
+    rng = np.random.default_rng(8)
+    centers = rng.standard_normal((400, 48))
+    x = neighbours.unit((centers[:, None] + 0.15 * rng.standard_normal((400, 40, 48))).reshape(-1, 48))
+    forest = neighbours.fit(x, 4, 6, 7)
+    visits = neighbours.leaves_for(forest, x, 5, 0.95)
+    leaf = [t.leaf(x) for t in forest]
+    hit = seen = 0
+    for q in range(0, len(x), 200):
+        score = x @ x[q]
+        score[q] = -2
+        near = set(np.argsort(-score)[:5].tolist())
+        held = np.unique(np.concatenate([np.flatnonzero(leaf[t] == n) for t, n in neighbours.probe(forest, x[q], visits)]))
+        hit, seen = hit + len(near & set(held.tolist())), seen + len(held)
+    queries = len(range(0, len(x), 200))
+    assert hit / (5 * queries) >= 0.9 and seen / queries / len(x) < 0.25
