@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_BASE, mixed, runs, slices, span_hashes, word_hashes
+from .common import WORD_BASE, mixed, runs, slices, span_hashes, tidy, word_hashes
 
 #: Words of a gram, how far apart diagonals may lie to be merged, and the share of a template and of its span that must match.
 GRAM, DRIFT, LEAST_TEMPLATE, LEAST_SPAN = 4, 3, 0.5, 0.5
@@ -81,7 +81,7 @@ def rolling(rows: DataFrame, k: int) -> DataFrame:
                 where = pa.array(own)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array((inside - first[own]).astype(np.int32)), pa.array(g[inside])], ["id", "h", "pos", "gram"])
 
-    return rows.select("id", "h", "text").mapInArrow(run, "id long, h long, pos int, gram long")
+    return rows.select("id", "h", "text").mapInArrow(tidy(run), "id long, h long, pos int, gram long")
 
 
 def spans(rows: DataFrame, templates: dict[str, str] | None = None, k: int = GRAM) -> DataFrame:
@@ -135,7 +135,7 @@ def phrases(rows: DataFrame, wanted: dict[str, str] | None = None) -> DataFrame:
                     ["id", "h", "n_words", "n_base", "first_word", "last_word", "base"],
                 )
 
-    return rows.select("id", "h", "text").mapInArrow(run, "id long, h long, n_words long, n_base long, first_word long, last_word long, base array<string>")
+    return rows.select("id", "h", "text").mapInArrow(tidy(run), "id long, h long, n_words long, n_base long, first_word long, last_word long, base array<string>")
 
 
 def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

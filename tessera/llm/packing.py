@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .tokens import encoder
 
 
@@ -176,7 +177,7 @@ def pack(rows: DataFrame, examples: Callable[[pa.RecordBatch], Iterable[tuple[in
             written(held)
         yield batch_of()
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(tidy(run), SCHEMA)
 
 
 def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1, text: str = "text", id_col: str = "doc_id") -> DataFrame:

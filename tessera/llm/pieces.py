@@ -6,31 +6,39 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 BLANK = "▁"
-#: Entries of each of a cache's two generations: bounds a worker's memory.
-MOST_CACHED = 600_000
+#: Bytes of keys and values (and 100 for each entry) of each of a cache's two generations, and entries of the table of pairs: bounds a worker's memory.
+MOST_BYTES, MOST_PAIRS = 96 << 20, 600_000
 
 
 class Recent(dict):
-    """What `made` gives for each key. A full generation becomes the old one, whose entries come back when they are asked for."""
+    """What `made` gives for each key. A full generation becomes the old one, whose entries come back when they are asked for; what would take a 64th of it is not kept."""
 
     def __init__(self, made: Callable):
-        self.made, self.old = made, {}
+        self.made, self.old, self.held = made, {}, 0
 
     def __missing__(self, key):
         got = self.old.get(key)
         if got is None:
             got = self.made(key)
-        if len(self) >= MOST_CACHED:
+        size = getsizeof(key) + getsizeof(got) + 100
+        if 64 * size > MOST_BYTES:
+            return got
+        if self.held + size > MOST_BYTES:
             self.old = dict(self)
             self.clear()
+            self.held = 0
         self[key] = got
+        self.held += size
         return got
 
 
@@ -84,7 +92,7 @@ class Pieces:
     def follows(self, a: str, b: str) -> bool:
         got = self.may.get((a, b))
         if got is None:
-            if len(self.may) > MOST_CACHED:
+            if len(self.may) > MOST_PAIRS:
                 self.may.clear()
             got = self.may[a, b] = self.merged([*(a + b)]) == ([a, b] if a else [b])
         return got
@@ -201,7 +209,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_i
                 same = [p.decode(i) == x.encode() for i, x in zip(ids, raw, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 512], pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(same)], ["doc_id", "n_pieces", "ids", "round_trip"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_pieces long, ids binary, round_trip boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_pieces long, ids binary, round_trip boolean")
 
 
 def decoded(rows: DataFrame, path: str, ids: str = "ids", id_col: str = "doc_id") -> DataFrame:
@@ -213,7 +221,7 @@ def decoded(rows: DataFrame, path: str, ids: str = "ids", id_col: str = "doc_id"
             out = [p.decode(x or b"").decode(errors="replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def checksum(docs: DataFrame, path: str) -> DataFrame:

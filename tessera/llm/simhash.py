@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
 BITS, SEED = 64, 42
 
@@ -44,7 +44,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sh
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "h", "fp"])
 
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(body).alias("h"), body.alias("text")).mapInArrow(run, "doc_id long, h long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(body).alias("h"), body.alias("text")).mapInArrow(tidy(run), "doc_id long, h long, fp long")
 
 
 def block_masks(blocks: int, distance: int) -> list[int]:

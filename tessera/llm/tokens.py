@@ -20,11 +20,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Pre-tokens of the tokenizer file, as its own pre_tokenizer states them (fixed value).
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 END = "</w>"
 #: Bytes of keys and values (and 100 for each entry) that one of a worker's caches holds before it is emptied: bounds its memory.
-MOST_BYTES = 128 << 20
+MOST_BYTES = 64 << 20
 
 
 class Known(dict):
@@ -270,7 +272,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, text: str = "tex
                 kept.append(len(raw.decode()) if n <= limit else budget_prefix(c, raw, limit))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts]), pa.array(kept, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "kept_chars"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, kept_chars long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, kept_chars long")
 
 
 def budget_prefix(c: Counter, raw: bytes, limit: int) -> int:

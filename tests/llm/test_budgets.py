@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tessera.llm import tokens
+from tessera.llm import pieces, tokens
 
 PARTS = ["internationalization", "don't", "WE'LL", "x're", "'", "''ve", "<|endoftext|>", "<|endof", "<|ENDOFTEXT|>", "!!!???...", "12", "\u0130", "\u00e9", "e\u0301", "\u4e2d\u6587\u5b57", "\U0001f44d\U0001f3fd", "\u3000", "\u3000\u3000", "\x85", "\u1112\u1161\u11ab", "\u0e01\u0e49", "a" * 24, "!"]
 
@@ -42,3 +42,9 @@ def test_caches_are_bounded_by_bytes(monkeypatch):
         known["x" * 4000 + str(i)]
     assert sum(len(k) + len(v) for k, v in known.items()) <= 1 << 20
     assert len(known["y" * 50_000]) == 100_000 and "y" * 50_000 not in known
+    monkeypatch.setattr(pieces, "MOST_BYTES", 1 << 20)
+    recent = pieces.Recent(lambda key: key * 2)
+    for i in range(400):
+        recent["x" * 4000 + str(i)]
+    assert sum(len(k) + len(v) for held in (recent, recent.old) for k, v in held.items()) <= 2 << 20
+    assert len(recent["y" * 50_000]) == 100_000 and "y" * 50_000 not in recent
