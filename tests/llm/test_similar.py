@@ -40,6 +40,21 @@ def kept(spark, rows):
     return sorted(r.doc_id for r in c.near_duplicates(spark, docs, "").collect())
 
 
+@pytest.fixture
+def small_tasks(monkeypatch):
+    """Groups of more than a few shingles are resolved in rounds."""
+    for name, n in (("WHOLE", 600), ("PIVOTS", 300), ("MEMBERS", 1000)):
+        monkeypatch.setattr(similar, name, n)
+
+
+def test_near_copies_in_rounds(spark, small_tasks):
+    test_near_copies_of_a_table(spark, "sf0.001")
+
+
+def test_near_copies_at_the_threshold_in_rounds(spark, small_tasks):
+    test_near_copies_at_the_threshold(spark)
+
+
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
 def test_near_copies_of_a_table(spark, size):
     t = ds.dataset(f"/root/testdata/{size}/documents.parquet").to_table(columns=["doc_id", "text"])
