@@ -40,18 +40,8 @@ def kept(spark, rows):
     return sorted(r.doc_id for r in c.near_duplicates(spark, docs, "").collect())
 
 
-@pytest.fixture
-def small_tasks(monkeypatch):
-    """Groups of more than a few shingles are resolved in rounds."""
-    for name, n in (("WHOLE", 600), ("PIVOTS", 300), ("MEMBERS", 1000)):
-        monkeypatch.setattr(similar, name, n)
-
-
-def test_near_copies_in_rounds(spark, small_tasks):
-    test_near_copies_of_a_table(spark, "sf0.001")
-
-
-def test_near_copies_at_the_threshold_in_rounds(spark, small_tasks):
+def test_pivots_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(similar, "MEMBERS", 2)
     test_near_copies_at_the_threshold(spark)
 
 
@@ -79,16 +69,16 @@ def test_near_copies_at_the_threshold(spark):
     assert kept(spark, list(enumerate(texts))) == sorted(set(want))
 
 
-def test_linked_meets_all_pairs():
+def test_bands_meet_similar_sets():
+    """Of 2000 pairs at a similarity of 0.8, one at most shares no band; of pairs at 0.3, few share one."""
     rng = np.random.default_rng(8)
-    for _ in range(50):
-        sets = [np.unique(rng.integers(0, 14, 12).astype(np.uint64)) for _ in range(25)]
-        edge = [[len(np.intersect1d(a, b)) * 9 >= 4 * (len(a) + len(b)) for b in sets] for a in sets]
-        got = similar.linked(sets, Fraction(4, 5))
-        reach = np.linalg.matrix_power(np.array(edge, float), 1) > 0
-        for _ in range(6):
-            reach = (reach.astype(float) @ reach.astype(float)) > 0
-        assert ((got[:, None] == got[None]) == reach).all()
+    met = [0, 0]
+    for k, (both, own) in enumerate(((160, 20), (60, 70))):
+        for _ in range(2000):
+            x = rng.integers(0, 1 << 63, both + 2 * own, dtype=np.uint64)
+            met[k] += bool((similar.bands(np.sort(x[: both + own])) == similar.bands(np.sort(np.concatenate([x[:both], x[both + own :]])))).any())
+    assert met[0] >= 1999 and met[1] <= 100
+    assert similar.similar(np.arange(9), np.arange(1, 10), Fraction(4, 5)) and not similar.similar(np.arange(9), np.arange(2, 11), Fraction(4, 5))
 
 
 @pytest.mark.parametrize("distance", [0, 1, 3, 5])
