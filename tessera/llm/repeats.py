@@ -29,8 +29,8 @@ from .common import BASE, SPACE, WORD_BASE, Spans, cut, drop, few, mixed, runs,
 
 #: Words of an anchor, and offsets of windows that share a core.
 ANCHOR, STEP = 8, 7
-#: Windows of one passage at most, and anchors in the documents of a shard on average.
-BLOCK, SHARD = 128, 50_000
+#: Windows of one passage at most; recurring anchors, and bytes of compressed text, in the documents of a shard on average.
+BLOCK, SHARD, SHARD_BYTES = 128, 50_000, 2 << 20
 #: Anchors that hold more than one in HOT of all occurrences each, so HOT at most, are broadcast.
 HOT = 2000
 #: Partitions of documents at most; a partition may hold many shards, one after the other.
@@ -383,10 +383,11 @@ def kept_rows(docs: DataFrame, window: int, text: str, id_col: str, carried: Col
     first = cut(occurrences(rows, window))
     occ = recurring_only(first)
     drop(first)
-    shards = max(1, -(-occ.count() // SHARD))
+    texts = cut(packed_texts(rows))
+    size = texts.agg(F.sum(F.length("z"))).first()[0] or 0
+    shards = max(1, -(-occ.count() // SHARD), -(-size // SHARD_BYTES))
     shard = F.pmod(F.xxhash64("id", "h"), F.lit(shards)).cast("int")
     classes = occ.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "pos", "low", "high")).alias("at")).select("anchor", "around", "n", "at.*")
-    texts = cut(packed_texts(rows))
     named = cut(cores(texts, classes, window))
     passages, met = confirmed(named, window)
     asked = in_blocks(met).select("anchor", "around", "id", "h", "block").distinct()
@@ -395,7 +396,7 @@ def kept_rows(docs: DataFrame, window: int, text: str, id_col: str, carried: Col
     drop(occ, named)
     delivered = cut(passage_rows(texts, passages, window).join(ways, ["id", "h", "block"]).select("shard", "words"))
     drop(ways)
-    return located(texts, delivered, shard, min(shards, MOST_PARTITIONS), window, whole)
+    return located(texts, delivered, shard, max(1, min(shards // 2, MOST_PARTITIONS)), window, whole)
 
 
 def without_repeats(docs: DataFrame, window: int = 35, text: str = "text", id_col: str = "doc_id") -> DataFrame:
