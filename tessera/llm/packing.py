@@ -180,7 +180,11 @@ def pack(rows: DataFrame, examples: Callable[[pa.RecordBatch], Iterable[tuple[in
     return rows.mapInArrow(tidy(run), SCHEMA)
 
 
-def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+#: A piece has a token at least, so here tokens bind first and no bin closes unfull for its segments.
+WHOLE_TEXTS = Limits(segments=2048)
+
+
+def pack_documents(docs: DataFrame, path: str, limits: Limits = WHOLE_TEXTS, end_id: int = 1, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Packs whole texts: the tokenizer's ids and then end_id, all bearing loss, cut freely. Null texts count as empty: end_id alone."""
     end = end_id.to_bytes(4, "little")
 
@@ -191,3 +195,58 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return pack(rows, examples, limits, may_cut=True)
+
+
+def pack_conversations(turns: DataFrame, path: str, limits: Limits, end_id: int = 1, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", bears_loss: str = "assistant") -> DataFrame:
+    """Packs conversations whole, under limits on tokens, segments (examples in a sequence) and tokens with loss: those of the turns of one role, with their end_id.
+
+    A row per example as pack() gives it, doc_id being the conversation; columns start and doc_tokens count in the example. A conversation beyond a limit goes on in a further
+    example, cut between tokens. Turns follow `turn`, then role and text; a null text is empty, a null role bears no loss, and null
+    conversations are one. Turns are streamed in order, so a conversation of any length holds no more than one example in memory.
+    """
+    end = end_id.to_bytes(4, "little")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path)
+        now, ids, loss, begun = None, bytearray(), 0, False
+
+        def example(out: list[tuple]) -> None:
+            nonlocal loss
+            out.append((now, bytes(ids), loss))
+            ids.clear()
+            loss = 0
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            a, b, c = zip(*out, strict=True) if out else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary()), pa.array(c, pa.int64())], ["doc_id", "ids", "loss"])
+
+        for batch in batches:
+            out: list[tuple] = []
+            for name, who, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()), strict=True):
+                if begun and name != now and ids:
+                    example(out)
+                now, begun = name, True
+                more = e.encode(said.as_buffer().to_pybytes() if said.is_valid else b"") + end
+                at, bears = 0, who == bears_loss
+                while at < len(more):
+                    room = limits.tokens - len(ids) // 4
+                    if bears:
+                        room = min(room, limits.loss - loss)
+                    if room <= 0:
+                        example(out)
+                        continue
+                    part = more[at : at + 4 * room]
+                    ids.extend(part)
+                    loss += len(part) // 4 * bears
+                    at += len(part)
+            yield batch_of(out)
+        if ids:
+            out = []
+            example(out)
+            yield batch_of(out)
+
+    rows = turns.select(F.col(conv).cast("long").alias("c"), F.col(role).cast("string").alias("r"), F.col(text).cast("string").alias("t"), F.col(turn).alias("n"))
+    ordered = rows.repartition("c").sortWithinPartitions("c", "n", "r", "t").select("c", "r", "t")
+    examples = ordered.mapInArrow(tidy(run), "doc_id long, ids binary, loss long")
+    given = lambda batch: zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+    return pack(examples, given, limits)

@@ -224,3 +224,29 @@ def test_vector_limits():
     bins += packer.finish()
     assert sorted(p.doc for b in bins for p in b) == [i for i, x in enumerate(loss) if x <= 90]
     assert all(sum(p.length for p in b) <= 128 and len(b) <= 3 and sum(p.loss for p in b) <= 90 for b in bins)
+
+
+def test_conversations_under_three_limits(spark, sf_dir):
+    """Every token once, in order, with its loss; no limit broken, and each of them met or nearly met by some sequence."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    library = tokens.library(tokens.tokenizer_path())
+    want = defaultdict(list)
+    for r in sorted(rows.collect(), key=lambda r: (r.conv_id, r.turn, r.role or "", r.text or "")):
+        want[r.conv_id] += [(i, r.role == "assistant") for i in [*library.encode(r.text or "", add_special_tokens=False).ids, 1]]
+    limits = packing.Limits(tokens=512, segments=6, loss=160)
+    got = packing.pack_conversations(rows, tokens.tokenizer_path(), limits).collect()
+    assert {r.doc_id: 0 for r in got}.keys() == want.keys()
+    count, loss = Counter(), Counter()
+    for r in got:
+        count[r.doc_id] += r.length
+        loss[r.doc_id] += r.n_loss
+    assert count == {c: len(x) for c, x in want.items()} and +loss == +Counter({c: sum(b for _, b in x) for c, x in want.items()})
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append(r)
+    most = [max(f(x) for x in bins.values()) for f in (lambda x: sum(r.length for r in x), len, lambda x: sum(r.n_loss for r in x))]
+    assert most[0] <= 512 and most[1] <= 6 and most[2] <= 160 and most[2] > 140
+    odd = spark.createDataFrame([(1, 0, "assistant", None), (1, 1, None, "a b"), (None, 0, "user", ""), (1, 0, "assistant", None), (2, 0, "assistant", "x y " * 700)], "conv_id long, turn long, role string, text string")
+    lengths = sorted((r.doc_id or 0, r.length, r.n_loss) for r in packing.pack_conversations(odd, tokens.tokenizer_path(), limits).collect())
+    assert lengths[0] == (0, 1, 0) and lengths[1] == (1, 5, 2) and sum(x[1] for x in lengths[2:]) == 1401 and max(x[2] for x in lengths) == 160
+    assert packing.pack_conversations(odd.where("turn > 5"), tokens.tokenizer_path(), limits).count() == 0
