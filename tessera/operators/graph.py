@@ -126,24 +126,38 @@ def neighbour_counts(rows: DataFrame, radius: float, **how) -> DataFrame:
     return own.join(counts, "id", "left").select("id", "label", (F.coalesce("n", F.lit(0)) + 1).alias("n"), (F.coalesce("total", F.lit(0.0)) + 1.0).alias("total"))
 
 
-def mixture(values: DataFrame, column: str, most_rounds: int = 1000, tolerance: float = 1e-10) -> tuple[float, float, float, int]:
-    """(share, variance, level, rounds) of a zero-mean normal mixed with a level background, by expectation maximisation over standardised values.
+#: Fixed values of the fit: first share and level, greatest share, what is added to the variance, least spread of the background and its level then.
+FIRST_SHARE, FIRST_LEVEL, MOST_SHARE, ADDED, LEAST_SPREAD = 0.1, 0.2, 0.5, 1e-3, 1e-3
 
-    The values are counted once in bins of a thousandth of a deviation, whose number does not grow with the rows, and the
-    rounds run over the bins.
+
+def mixture(values: DataFrame, column: str, most_rounds: int = 1000, tolerance: float = 1e-10) -> tuple[DataFrame, float, float, int]:
+    """(values with `posterior`, share, variance, rounds) of a zero-mean normal mixed with a level background, by expectation maximisation over standardised values.
+
+    A round sets the normal's share, up to MOST_SHARE, and variance from the posteriors, and the background's level from the first two moments of
+    what is left to it; rounds end when the total likelihood stays within the tolerance. The values are counted once in
+    bins of a thousandth of a deviation, and the rounds run over the bins; the posteriors are those of the last round's normal and background, row by row.
+    Null values have none; without two different values there is nothing to fit, and share and variance are 0.
     """
     m, s = values.agg(F.avg(column), F.stddev_pop(column)).first()
-    binned = values.select(F.round((F.col(column) - m) / s, 3).alias("z")).groupBy("z").agg(F.count("*").alias("n")).toPandas()
+    if not s:
+        return values.withColumn("posterior", F.lit(None).cast("double")), 0.0, 0.0, 0
+    scaled = (F.col(column) - m) / s
+    binned = values.where(F.col(column).isNotNull()).select(F.round(scaled, 3).alias("z")).groupBy("z").agg(F.count("*").alias("n")).toPandas()
     z, n = binned["z"].to_numpy(float), binned["n"].to_numpy(float)
-    share, variance, level = 0.5, 1.0, 1.0 / max(z.max() - z.min(), 1e-12)
+    share, level, variance, before = FIRST_SHARE, FIRST_LEVEL, float((n * z * z).sum() / n.sum()), 0.0
+    used = (share, level, variance)
     for rounds in range(1, most_rounds + 1):
-        normal = np.exp(-z * z / (2 * variance)) / np.sqrt(2 * np.pi * variance)
-        g = n * share * normal / (share * normal + (1 - share) * level)
-        new = (g.sum() / n.sum(), max((g * z * z).sum() / g.sum(), 1e-12))
-        done = max(abs(new[0] - share), abs(new[1] - variance)) < tolerance
-        share, variance = new
-        if done:
+        used = (share, level, variance + ADDED)
+        normal = np.exp(-z * z / (2 * used[2])) / np.sqrt(2 * np.pi * used[2])
+        mine = n * share * normal / (share * normal + (1 - share) * level)
+        mass, rest = mine.sum(), n - mine
+        variance, share = float((mine * z * z).sum() / mass), float(min(mass / n.sum(), MOST_SHARE))
+        scale = mass * (1 - share + 1e-10)
+        spread = 3 * (rest * z * z).sum() / scale - ((rest * z).sum() / scale) ** 2
+        level = 1e-3 if spread < LEAST_SPREAD else float(1 / (2 * np.sqrt(spread) + 1e-10))
+        likelihood = float((n * (share * normal + (1 - share) * level)).sum())
+        if abs(likelihood - before) < tolerance:
             break
-    return float(share), float(variance), float(level), rounds
-
-
+        before = likelihood
+    density = F.exp(-scaled * scaled / (2 * used[2])) * float(used[0] / np.sqrt(2 * np.pi * used[2]))
+    return values.withColumn("posterior", density / (density + (1 - used[0]) * used[1])), share, variance, rounds

@@ -61,12 +61,19 @@ def positive_pairs(rows: DataFrame, index: str, label: str) -> DataFrame:
 
 
 def negative_pairs(rows: DataFrame, index: str, label: str) -> DataFrame:
-    """(label, anchor, other, other_label): ten draws for each positive pair (100 for a class of one); draws that hit the own class are void."""
+    """(label, anchor, other, other_label): ten draws for each positive pair (100 for a class of one), from the rows of all other classes; none if there is one class only.
+
+    Rows are numbered class by class, so that the numbers of the own class are one range, which a draw steps over.
+    """
     total = rows.count()
-    sizes = caps(rows, label)
+    first = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = caps(rows, label).withColumn("first", F.coalesce(F.sum("n").over(first), F.lit(0))).where(F.col("n") < total)
     draws = F.when(F.col("n") < 2, F.lit(100)).otherwise(10 * F.least(F.expr("n * (n - 1) div 2"), F.col("cap")))
-    drawn = sizes.select(label, "n", F.explode(F.sequence(F.lit(0).cast("long"), draws.cast("long") - 1)).alias("k"))
-    wanted = drawn.select(label, ((F.col("k") * 7919 + F.col(label)) % F.col("n")).alias("r"), ((F.col("k") * 104729 + F.col(label) * 31) % F.lit(total)).alias("g"))
-    anchors = rows.select(label, F.col(index).alias("anchor"), (F.row_number().over(Window.partitionBy(label).orderBy(index)) - 1).alias("r"))
-    others = numbered(rows.select(F.col(index).alias("other"), F.col(label).alias("other_label")), ["other"], "g")
-    return wanted.join(anchors, [label, "r"]).join(others, "g").where(F.col("other_label") != F.col(label)).select(label, "anchor", "other", "other_label")
+    drawn = sizes.select(label, "n", "first", F.explode(F.sequence(F.lit(0).cast("long"), draws.cast("long") - 1)).alias("k"))
+    d = (F.col("k") * 104729 + F.col(label) * 31) % (F.lit(total) - F.col("n"))
+    wanted = drawn.select(label, (F.col("first") + (F.col("k") * 7919 + F.col(label)) % F.col("n")).alias("r"), F.when(d < F.col("first"), d).otherwise(d + F.col("n")).alias("g"))
+    inside = F.row_number().over(Window.partitionBy(label).orderBy(index)) - 1
+    placed = rows.select(label, index).join(F.broadcast(sizes.select(label, "first")), label).select(label, index, (F.col("first") + inside).alias("r"))
+    anchors = placed.select(label, F.col(index).alias("anchor"), "r")
+    others = placed.select(F.col(index).alias("other"), F.col(label).alias("other_label"), F.col("r").alias("g"))
+    return wanted.join(anchors, [label, "r"]).join(others, "g").select(label, "anchor", "other", "other_label")

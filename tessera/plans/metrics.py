@@ -413,12 +413,11 @@ def agg_centers(spark, sf_dir):
 
 @query()
 def agg_em_gum(spark, sf_dir):
-    """A normal and a level background fitted to norms of sums of vectors."""
+    """A normal and a level background fitted to the scores; each row with its posterior."""
     from ..operators.graph import mixture
 
-    values = base.positional(spark, sf_dir).select("score")
-    share, variance, level, rounds = mixture(values, "score")
-    return spark.range(1).select(F.lit(share).alias("share"), F.lit(variance).alias("variance"), F.lit(level).alias("level"), F.lit(rounds).alias("rounds"))
+    found, share, variance, rounds = mixture(base.positional(spark, sf_dir), "score")
+    return found.withColumn("share", F.lit(share)).withColumn("variance", F.lit(variance)).withColumn("rounds", F.lit(rounds))
 
 
 @query(f"WITH {E}, {LONG} SELECT vec_id, CAST(d AS BIGINT) AS d, {r6('v[d]')} AS x FROM x")

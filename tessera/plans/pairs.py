@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import bin_index, dot, normalized, rounded
 from ..operators import operating_points as points
 from ..operators import similarity as sim
+from ..operators.graph import written
 from . import base
 from .base import E, HIST, POS, P, r6
 from .registry import query, table
@@ -75,10 +76,17 @@ def join_attach_attrs(spark, sf_dir):
     return made.select("i", "j", (F.col("score") + 0.0).alias("score"), "path_i", "path_j", "label_i", "label_j")
 
 
-@query(f"WITH {P}, x AS (SELECT CASE WHEN i % 2 = 1 THEN j ELSE i END AS a, CASE WHEN i % 2 = 1 THEN i ELSE j END AS b, round(s * 0.9, 9) AS other FROM p WHERE (i * 31 + j) % 4 = 0 AND s >= 0.3) SELECT i, j, {PAIR_SQL}, other + 0.0 AS other FROM p LEFT JOIN x ON least(a, b) = i AND greatest(a, b) = j WHERE s >= 0.3")
+LEFT_SCORE = f"""
+WITH {P}, q AS MATERIALIZED (SELECT * FROM p WHERE s >= 0.3),
+x AS (SELECT CASE WHEN i % 2 = 1 THEN j ELSE i END AS a, CASE WHEN i % 2 = 1 THEN i ELSE j END AS b, round(s * 0.9, 9) AS other FROM q WHERE (i * 31 + j) % 4 = 0),
+y AS (SELECT least(a, b) AS i, greatest(a, b) AS j, other FROM x)
+SELECT q.i, q.j, {PAIR_SQL}, other + 0.0 AS other FROM q LEFT JOIN y ON y.i = q.i AND y.j = q.j"""
+
+
+@query(LEFT_SCORE)
 def join_left_score(spark, sf_dir):
     """Pairs with an external score, whose keys come in either order; null where there is none."""
-    mined = sim.pairs_where(base.labelled(spark, sf_dir), neg_from=0.3, pos_from=0.3)
+    mined = written(sim.pairs_where(base.labelled(spark, sf_dir), neg_from=0.3, pos_from=0.3))
     odd = F.col("i") % 2 == 1
     external = mined.where("(i * 31 + j) % 4 = 0").select(F.when(odd, F.col("j")).otherwise(F.col("i")).alias("a"), F.when(odd, F.col("i")).otherwise(F.col("j")).alias("b"), F.round(F.col("score") * 0.9, 9).alias("other"))
     keyed = external.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "other")

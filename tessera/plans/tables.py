@@ -111,10 +111,20 @@ def sample_pairs_adaptive(spark, sf_dir):
     return sampling.positive_pairs(base.vectors(spark, sf_dir).select("vec_id", "label"), "vec_id", "label")
 
 
-@query(f"WITH {CAPPED}, m AS (SELECT label, unnest(range(0, CASE WHEN n < 2 THEN 100 ELSE 10 * least(n * (n - 1) // 2, cap) END)) AS k, n FROM cap), a AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r FROM e), o AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS g FROM e), t AS (SELECT count(*) AS n_all FROM e) SELECT m.label, count(*) AS n, count(*) FILTER (o.label = m.label) AS wrong FROM m, t JOIN a ON a.label = m.label AND a.r = (m.k * 7919 + m.label) % m.n JOIN o ON o.label <> m.label AND o.g = (m.k * 104729 + m.label * 31) % n_all GROUP BY 1")
+NEGATIVE = f"""
+WITH {CAPPED}, t AS (SELECT count(*) AS total FROM e),
+f AS (SELECT *, coalesce(sum(n) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM cap),
+m AS (SELECT label, n, first, unnest(range(0, CASE WHEN n < 2 THEN 100 ELSE 10 * least(n * (n - 1) // 2, cap) END)) AS k FROM f),
+d AS (SELECT label, first + (k * 7919 + label) % n AS r, first, n, (k * 104729 + label * 31) % (total - n) AS d FROM m, t WHERE n < total),
+o AS (SELECT vec_id, label, row_number() OVER (ORDER BY label, vec_id) - 1 AS g FROM e)
+SELECT d.label, count(*) AS n, count(*) FILTER (o.label = d.label) AS wrong, CAST(sum(a.vec_id * 31 + o.vec_id) AS BIGINT) AS keys
+FROM d JOIN o AS a ON a.g = d.r JOIN o ON o.g = CASE WHEN d.d < d.first THEN d.d ELSE d.d + d.n END GROUP BY 1"""
+
+
+@query(NEGATIVE)
 def sample_negative_pairs(spark, sf_dir):
-    """Negative pairs: ten for each positive one, an anchor of the class with a row of any other; draws that hit the own class are void."""
-    return sampling.negative_pairs(base.vectors(spark, sf_dir).select("vec_id", "label"), "vec_id", "label").groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("other_label") == F.col("label")).alias("wrong"))
+    """Negative pairs: ten for each positive one, an anchor of the class with a row of any other; no draw is void."""
+    return sampling.negative_pairs(base.vectors(spark, sf_dir).select("vec_id", "label"), "vec_id", "label").groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("other_label") == F.col("label")).alias("wrong"), F.sum(F.col("anchor") * 31 + F.col("other")).alias("keys"))
 
 
 @query(f"WITH {E}, u AS (SELECT DISTINCT label % 10 AS c, label IN (1, 3) AS pos FROM e), k AS (SELECT c, row_number() OVER (ORDER BY pos DESC, (c * 2654435761 + 17) % 1000003, c) AS r FROM u) SELECT c AS class, row_number() OVER (ORDER BY c) - 1 AS local FROM k WHERE r <= 5")

@@ -211,3 +211,29 @@ def test_ring_stream(spark, tmp_path):
 def test_projection_reads_two_columns(spark, sf_dir):
     plan = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", doubles("embedding").alias("v"))._jdf.queryExecution().executedPlan().toString()
     assert "label" not in plan.split("ReadSchema")[1]
+
+
+def test_mixture_equals_the_unbinned_fit(spark):
+    """The rounds over bins against the same rounds over all values, and rows without a spread."""
+    from tessera.operators.graph import mixture
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 0.3, 400), rng.uniform(-4, 4, 500)])
+    z = np.round((x - x.mean()) / x.std(), 3)
+    share, level, var, before = 0.1, 0.2, (z * z).mean(), 0.0
+    for _ in range(1000):
+        phi = np.exp(-z * z / 2 / (var + 1e-3)) / np.sqrt(2 * np.pi * (var + 1e-3))
+        g = phi * share / (phi * share + (1 - share) * level)
+        var, share = (g * z * z).sum() / g.sum(), min(g.mean(), 0.5)
+        w = (1 - g) / (1 - share + 1e-10) / g.sum()
+        spread = 3 * (w * z * z).sum() - (w * z).sum() ** 2
+        level = 0.001 if abs(spread) < 0.001 else 1 / (2 * np.sqrt(spread) + 1e-10)
+        like = (share * phi + (1 - share) * level).sum()
+        if abs(like - before) < 1e-10:
+            break
+        before = like
+    df = spark.createDataFrame([(float(v),) for v in x], "v double")
+    got, share_, var_, _ = mixture(df, "v")
+    assert abs(share_ - share) < 1e-6 and abs(var_ - var) < 1e-6
+    assert max(abs(a - b) for a, b in zip(sorted(r.posterior for r in got.collect()), sorted(g.tolist()), strict=True)) < 5e-3
+    assert {r.posterior for r in mixture(spark.createDataFrame([(1.0,), (1.0,), (None,)], "v double"), "v")[0].collect()} == {None}
