@@ -6,7 +6,6 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
-from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import tidy
 
 BLANK = "▁"
-#: Bytes of keys and values (and 100 for each entry) of each of a cache's two generations, and entries of the table of pairs: bounds a worker's memory.
-MOST_BYTES, MOST_PAIRS = 96 << 20, 600_000
+#: Bytes of keys and values (and ENTRY for each entry) of each of a cache's two generations, and entries of the table of pairs: bounds a worker's memory.
+MOST_BYTES, ENTRY, MOST_PAIRS = 96 << 20, 200, 600_000
 
 
 class Recent(dict):
@@ -30,7 +29,7 @@ class Recent(dict):
         got = self.old.get(key)
         if got is None:
             got = self.made(key)
-        size = getsizeof(key) + getsizeof(got) + 100
+        size = 4 * len(key) + 8 * len(got) + ENTRY
         if 64 * size > MOST_BYTES:
             return got
         if self.held + size > MOST_BYTES:
