@@ -26,7 +26,7 @@ from .common import tidy
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 END = "</w>"
 #: Bytes of keys and values (and 100 for each entry) that one of a worker's caches holds before it is emptied: bounds its memory.
-MOST_BYTES = 64 << 20
+MOST_BYTES = 96 << 20
 
 
 class Known(dict):
