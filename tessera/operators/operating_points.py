@@ -52,12 +52,22 @@ def tpir_from_hist(hist: DataFrame, fars: list[float], low: float = -1.0, high:
     return joined.select("far", F.when(F.col("at").isNull(), F.lit(low)).otherwise(low + F.col("at.bin") * ((high - low) / bins)).alias("threshold"), rate.alias("tpir"))
 
 
-def threshold_by_rank(scores: DataFrame, ranks: DataFrame, rank: str, highest: int) -> DataFrame:
-    """ranks with `threshold`: the score at that rank (from 1) from the top, the last kept if there are fewer. Only the `highest` best are ranked."""
-    top = scores.orderBy(F.desc("score")).limit(highest)
-    placed = top.select("score", F.row_number().over(Window.orderBy(F.desc("score"))).cast("long").alias("place"))
-    last = placed.agg(F.max("place").alias("kept"))
-    return ranks.join(F.broadcast(last)).withColumn("place", F.least(F.col(rank), F.col("kept"))).join(F.broadcast(placed), "place").drop("kept", "place").withColumnRenamed("score", "threshold")
+def threshold_by_rank(scores: DataFrame, ranks: DataFrame, rank: str, bins: int = 1 << 16) -> DataFrame:
+    """ranks with `threshold`: the score at that rank (from 1) from the top, the lowest if there are fewer. Ranks are few; lower ones than 1 have no row.
+
+    Counts by bin say in which bin a rank lies; then only the scores of those bins are counted, each in a window of its own.
+    """
+    ends = scores.agg(F.min("score").alias("low"), F.max("score").alias("high"))
+    width = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(F.lit(1.0))
+    binned = scores.where("score is not null").select("score").join(F.broadcast(ends)).select("score", F.least(F.floor((F.col("score") - F.col("low")) / width * bins), F.lit(bins - 1)).alias("bin"))
+    down = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    coarse = binned.groupBy("bin").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(down))
+    total = coarse.agg(F.max("upto").alias("total"))
+    wanted = ranks.where(F.col(rank) >= 1).join(F.broadcast(total)).withColumn("place", F.least(F.col(rank), F.col("total"))).drop("total")
+    found = wanted.join(coarse, (F.col("place") <= F.col("upto")) & (F.col("place") > F.col("upto") - F.col("n"))).withColumn("place", F.col("place") - F.col("upto") + F.col("n")).drop("upto", "n")
+    inside = Window.partitionBy("bin").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    fine = binned.join(F.broadcast(found.select("bin").distinct()), "bin", "left_semi").groupBy("bin", "score").agg(F.count("*").alias("c")).withColumn("last", F.sum("c").over(inside))
+    return fine.join(F.broadcast(found), "bin").where((F.col("place") <= F.col("last")) & (F.col("place") > F.col("last") - F.col("c"))).drop("bin", "place", "last", "c").withColumnRenamed("score", "threshold")
 
 
 def confusion(pairs: DataFrame, accepted) -> DataFrame:

@@ -7,33 +7,48 @@ join is planned, nothing of the size of the pairs is stored, and tiles are dealt
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLAB = 1024
+#: Scores made at a time: rows by columns of a slab.
+SLAB, WIDE = 1024, 4096
+#: Bytes of vectors that a block may hold.
+BLOCK_BYTES = 64 << 20
 #: Scores are rounded to this many places before they are binned, compared or ranked.
 PLACES = 9
 
 Tile = tuple[np.ndarray, np.ndarray, np.ndarray]
-Slab = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Slab = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Kernel = Callable[[Iterator[Slab]], pa.Table]
 
 
-def slabs(left: Tile, right: Tile) -> Iterator[Slab]:
-    """(smaller id, greater id, same label, score, index) of the pairs of a tile, slab by slab; each pair once."""
+def grid(left: Tile, right: Tile, own: bool = False) -> Iterator[Slab]:
+    """(left ids, right ids, same label, score) of a tile, slab by slab, the last two as matrices. With own, slabs below the diagonal are left out."""
     ids_a, labels_a, x_a = left
     ids_b, labels_b, x_b = right
-    own = len(ids_a) == len(ids_b) and bool((ids_a == ids_b).all())
     meet = bool(np.isin(labels_a, labels_b).any())
     for at in range(0, len(ids_a), SLAB):
-        scores = np.round(x_a[at : at + SLAB] @ x_b.T, PLACES)
-        i, j = np.broadcast_arrays(ids_a[at : at + SLAB, None], ids_b[None, :])
+        a = slice(at, at + SLAB)
+        for to in range(0, len(ids_b), WIDE):
+            b = slice(to, to + WIDE)
+            if own and ids_b[b][-1] <= ids_a[at]:
+                continue
+            scores = np.round(x_a[a] @ x_b[b].T, PLACES)
+            yield ids_a[a], ids_b[b], labels_a[a, None] == labels_b[None, b] if meet else np.zeros(scores.shape, bool), scores
+
+
+def slabs(left: Tile, right: Tile) -> Iterator[Slab]:
+    """(smaller id, greater id, same label, score) of the pairs of a tile, slab by slab; each pair once."""
+    own = len(left[0]) == len(right[0]) and bool((left[0] == right[0]).all())
+    for ids_a, ids_b, same, scores in grid(left, right, own):
+        i, j = np.broadcast_arrays(ids_a[:, None], ids_b[None, :])
         take = i < j if own else np.ones(scores.shape, bool)
-        same = labels_a[at : at + SLAB, None] == labels_b[None, :] if meet else np.zeros(scores.shape, bool)
-        yield np.minimum(i, j)[take], np.maximum(i, j)[take], same[take], scores[take], np.flatnonzero(take)
+        yield np.minimum(i, j)[take], np.maximum(i, j)[take], same[take], scores[take]
 
 
 def tile_of(t: pa.Table, mark: str) -> Tile:
@@ -41,31 +56,109 @@ def tile_of(t: pa.Table, mark: str) -> Tile:
     v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
     x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.zeros((0, 0))
     order = np.argsort(ids, kind="stable")
-    return ids[order], labels[order], x[order]
+    return ids[order], labels[order], x[order].astype(np.float64, copy=False)
 
 
-def over_tiles(rows: DataFrame, kernel: Callable[[Iterator[Slab]], pa.Table], schema: str, block_rows: int = 1024, id_col: str = "vec_id", label: str = "label", vector: str = "embedding", n: int | None = None, by_label: bool = False) -> DataFrame:
-    """kernel's rows of every tile. Ids are distinct. A row travels once for each block, so larger blocks shuffle less and hold more.
+def block_size(rows: DataFrame, vector: str, block_rows: int | None) -> tuple[int, int]:
+    """(rows, rows of a block): enough blocks that their tiles occupy all cores a few times over, in blocks of at most BLOCK_BYTES.
 
-    With by_label, rows of a label go to neighbouring blocks, an eighth of the labels' hashes apart at most, so that most tiles hold no equal labels and compare none.
+    A row travels once for each block, so blocks are no smaller than that asks for.
     """
-    n = rows.count() if n is None else n
-    blocks = max(1, -(-n // block_rows))
-    block = F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks))
-    if by_label:
-        spread = max(1, blocks // 8)
-        block = F.pmod(F.pmod(F.xxhash64(F.col(label)), F.lit(blocks)) + F.pmod(F.xxhash64(F.col(id_col)), F.lit(spread)), F.lit(blocks))
-    given = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("v"), block.cast("int").alias("b"))
-    left = given.withColumn("hi", F.explode(F.sequence(F.col("b"), F.lit(blocks - 1)))).withColumnRenamed("b", "lo")
-    right = given.select(F.col("id").alias("id_"), F.col("label").alias("label_"), F.col("v").alias("v_"), F.col("b").alias("hi_")).withColumn("lo_", F.explode(F.sequence(F.lit(0), F.col("hi_"))))
+    n, width = rows.agg(F.count("*"), F.max(F.size(vector))).first()
+    if block_rows is None:
+        blocks = math.ceil(math.sqrt(6 * rows.sparkSession.sparkContext.defaultParallelism))
+        block_rows = min(max(1, BLOCK_BYTES // (8 * max(1, width or 1))), max(SLAB, -(-n // blocks)))
+    return n, block_rows
+
+
+def carried(rows: DataFrame, id_col: str, label: str, vector: str, mark: str = "") -> list[Column]:
+    """id, label and vector as the tiles take them; single-precision vectors travel as they are."""
+    v = F.col(vector) if rows.schema[vector].dataType.simpleString() == "array<float>" else F.col(vector).cast("array<double>")
+    return [F.col(id_col).cast("long").alias("id" + mark), F.col(label).cast("long").alias("label" + mark), v.alias("v" + mark)]
+
+
+def dealt(left: DataFrame, right: DataFrame, keys: list[str], kernel: Kernel, schema: str, parts: Callable[[Tile, Tile], Iterator[Slab]] = slabs) -> DataFrame:
+    """kernel's rows of every tile: rows of left and right that agree on keys, which right has with a mark."""
     empty = kernel(iter(()))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return empty
-        return kernel(slabs(tile_of(a, ""), tile_of(b, "_")))
+        return kernel(parts(tile_of(a, ""), tile_of(b, "_")))
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*(k + "_" for k in keys))).applyInArrow(run, schema)
+
+
+def over_tiles(rows: DataFrame, kernel: Kernel, schema: str, block_rows: int | None = None, id_col: str = "vec_id", label: str = "label", vector: str = "embedding", by_label: bool = False, within: bool = False) -> DataFrame:
+    """kernel's rows of every tile. Ids are distinct. Blocks hold about block_rows rows; without it, block_size chooses.
+
+    With by_label, rows of a label go to neighbouring blocks, an eighth of the labels' hashes apart at most, so that most tiles hold no equal labels and compare none.
+    With within, only pairs of equal labels are made: each label has blocks of its own, as many as its rows ask for. Rows without a label have no such pairs.
+    """
+    n, block_rows = block_size(rows, vector, block_rows)
+    given = rows.select(*carried(rows, id_col, label, vector))
+    blocks = F.lit(max(1, -(-n // block_rows)))
+    keys = ["lo", "hi"]
+    if within:
+        # No more than n / block_rows labels have more than one block, so their table is small.
+        large = given.groupBy(F.col("label").alias("l")).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).where("blocks > 1")
+        given = given.where("label is not null").join(F.broadcast(large), F.col("label") == F.col("l"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).drop("l")
+        blocks, keys = F.col("blocks"), ["label", *keys]
+    block = F.pmod(F.xxhash64("id"), blocks)
+    if by_label:
+        spread = max(1, -(-n // block_rows) // 8)
+        block = F.pmod(F.pmod(F.xxhash64("label"), blocks) + F.pmod(F.xxhash64("id"), F.lit(spread)), blocks)
+    given = given.withColumn("b", block.cast("int")).withColumn("blocks", blocks)
+    left = given.select("id", "label", "v", F.col("b").alias("lo"), F.explode(F.sequence(F.col("b"), F.col("blocks") - 1)).alias("hi"))
+    right = given.select(F.col("id").alias("id_"), F.col("label").alias("label_"), F.col("v").alias("v_"), F.col("b").alias("hi_"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("lo_"))
+    return dealt(left, right, keys, kernel, schema)
+
+
+def over_sides(probes: DataFrame, gallery: DataFrame, kernel: Kernel, schema: str, block_rows: int | None = None, id_col: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:
+    """kernel's rows of every tile of a block of probes and a block of the gallery; slabs are those of `grid`."""
+    (n, a), (m, b) = (block_size(x, vector, block_rows) for x in (probes, gallery))
+    own, other = max(1, -(-n // a)), max(1, -(-m // b))
+    place = lambda blocks: F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
+    left = probes.select(*carried(probes, id_col, label, vector), place(own).alias("lo"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("hi"))
+    right = gallery.select(*carried(gallery, id_col, label, vector, "_"), place(other).alias("hi_"), F.explode(F.sequence(F.lit(0), F.lit(own - 1))).alias("lo_"))
+    return dealt(left, right, ["lo", "hi"], kernel, schema, grid)
 
-    return left.groupBy("lo", "hi").cogroup(right.groupBy("lo_", "hi_")).applyInArrow(run, schema)
+
+def side_scores(probes: DataFrame, gallery: DataFrame, **how) -> DataFrame:
+    """(probe, gallery, same, score) of every probe with every row of the gallery."""
+
+    def kernel(parts: Iterator[Slab]) -> pa.Table:
+        out = [(*(x.ravel() for x in np.broadcast_arrays(p[:, None], g[None, :])), same.ravel(), s.ravel()) for p, g, same, s in parts]
+        return pair_table(out).rename_columns(["probe", "gallery", "same", "score"])
+
+    return over_sides(probes, gallery, kernel, "probe long, gallery long, same boolean, score double", **how)
+
+
+def best_of_sides(probes: DataFrame, gallery: DataFrame, k: int, **how) -> DataFrame:
+    """(probe, gallery, same, score, rank): at least the k best of the gallery for each probe and the best of its own label, ties to smaller ids.
+
+    Each tile keeps its k best and its best of the probe's label, so a probe has k + 1 rows a block of the gallery. Ranks up to k are those in the whole gallery; greater ones only say that k rows are ahead.
+    """
+
+    def kernel(parts: Iterator[Slab]) -> pa.Table:
+        out = []
+        for p, g, same, s in parts:
+            take = s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if s.shape[1] > k else np.ones(s.shape, bool)
+            mates = np.where(same, s, -np.inf)
+            take |= same & (mates == mates.max(axis=1, keepdims=True))
+            i, j = np.nonzero(take)
+            out.append((p[i], g[j], same[i, j], s[i, j]))
+        i, j, same, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0))
+        keep = np.zeros(len(i), bool)
+        for own, most in ((np.arange(len(i)), k), (np.flatnonzero(same), 1)):
+            order = own[np.lexsort((j[own], -s[own], i[own]))]
+            first = np.flatnonzero(np.diff(i[order], prepend=i[order[:1]] - 1)) if len(order) else np.zeros(0, np.int64)
+            place = np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))
+            keep[order[place < most]] = True
+        return pair_table([(i[keep], j[keep], same[keep], s[keep])]).rename_columns(["probe", "gallery", "same", "score"])
+
+    made = over_sides(probes, gallery, kernel, "probe long, gallery long, same boolean, score double", **how)
+    return made.withColumn("rank", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "gallery")).cast("long"))
 
 
 def histogram(rows: DataFrame, low: float = -1.0, high: float = 1.0, bins: int = 2000, only_inside: bool = False, **how) -> DataFrame:
@@ -76,7 +169,7 @@ def histogram(rows: DataFrame, low: float = -1.0, high: float = 1.0, bins: int =
 
     def kernel(parts: Iterator[Slab]) -> pa.Table:
         pos, neg = np.zeros(bins, np.int64), np.zeros(bins, np.int64)
-        for _, _, same, s, _ in parts:
+        for _, _, same, s in parts:
             if only_inside:
                 inside = (s >= low) & (s <= high)
                 same, s = same[inside], s[inside]
@@ -102,7 +195,7 @@ def pairs_where(rows: DataFrame, neg_from: float | None = None, pos_to: float |
 
     def kernel(parts: Iterator[Slab]) -> pa.Table:
         out = []
-        for i, j, same, s, _ in parts:
+        for i, j, same, s in parts:
             take = np.zeros(len(s), bool)
             if neg_from is not None:
                 take |= ~same & (s >= neg_from)
@@ -121,25 +214,40 @@ def all_scores(rows: DataFrame, **how) -> DataFrame:
     return pairs_where(rows, neg_from=-np.inf, pos_from=-np.inf, **how)
 
 
-def extremes(rows: DataFrame, k: int, same: bool, highest: bool, **how) -> DataFrame:
-    """The k pairs of equal (same) or different labels with the highest or lowest scores, ties to smaller i, then j.
+def score_counts(rows: DataFrame, ranges: list[tuple[float, float]], **how) -> DataFrame:
+    """(score, pos, neg): counts of pairs by score, of scores in any of the ranges [low, high). Scores are rounded, so a range has a bounded number of them."""
+
+    def kernel(parts: Iterator[Slab]) -> pa.Table:
+        held, counts = np.zeros(0), np.zeros((2, 0), np.int64)
+        for _, _, same, s in parts:
+            take = np.zeros(len(s), bool)
+            for low, high in ranges:
+                take |= (s >= low) & (s < high)
+            both = np.concatenate([held, s[take]])
+            more = np.concatenate([counts, np.stack([same[take], ~same[take]]).astype(np.int64)], axis=1)
+            held, at = np.unique(both, return_inverse=True)
+            counts = np.stack([np.bincount(at, weights=c, minlength=len(held)) for c in more]).astype(np.int64)
+        return pa.table({"score": held, "pos": counts[0], "neg": counts[1]})
+
+    return over_tiles(rows, kernel, "score double, pos long, neg long", **how).groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def extremes(rows: DataFrame, k: int, same: bool | None, highest: bool, **how) -> DataFrame:
+    """The k pairs of equal (same), of different or (None) of any labels with the highest or lowest scores, ties to smaller i, then j.
 
     Each tile keeps its own k best, so at most k rows of a tile travel.
     """
 
-    def best(i: np.ndarray, j: np.ndarray, s: np.ndarray) -> np.ndarray:
-        return np.lexsort((j, i, -s if highest else s))[:k]
-
     def kernel(parts: Iterator[Slab]) -> pa.Table:
-        held: list[tuple[np.ndarray, ...]] = []
-        for i, j, eq, s, _ in parts:
-            own = eq if same else ~eq
-            i, j, s = i[own], j[own], s[own]
-            if held:
-                i, j, s = np.concatenate([held[0][0], i]), np.concatenate([held[0][1], j]), np.concatenate([held[0][3], s])
-            keep = best(i, j, s)
-            held = [(i[keep], j[keep], np.full(len(keep), same), s[keep])]
-        return pair_table(held)
+        held = tuple(np.zeros(0, t) for t in (np.int64, np.int64, bool, np.float64))
+        for i, j, eq, s in parts:
+            own = np.ones(len(s), bool) if same is None else eq == same
+            i, j, eq, s = (np.concatenate([a, b[own]]) for a, b in zip(held, (i, j, eq, s), strict=True))
+            key = -s if highest else s
+            near = np.flatnonzero(key <= np.partition(key, k - 1)[k - 1]) if len(s) > k else np.arange(len(s))
+            keep = near[np.lexsort((j[near], i[near], key[near]))[:k]]
+            held = (i[keep], j[keep], eq[keep], s[keep])
+        return pair_table([held])
 
     return over_tiles(rows, kernel, PAIR, **how).orderBy(F.desc("score") if highest else F.asc("score"), "i", "j").limit(k)
 
@@ -151,14 +259,15 @@ def nearest_levels(rows: DataFrame, levels: dict[float, float], k: int, **how) -
     """
 
     def nearest(i: np.ndarray, j: np.ndarray, s: np.ndarray, t: float, above: bool) -> tuple[np.ndarray, ...]:
-        own = (s >= t) == above
-        i, j, s = i[own], j[own], s[own]
-        keep = np.lexsort((j, i, np.round(np.abs(s - t), 12)))[:k]
+        own = np.flatnonzero((s >= t) == above)
+        gap = np.round(np.abs(s[own] - t), 12)
+        near = np.flatnonzero(gap <= np.partition(gap, k - 1)[k - 1]) if len(gap) > k else np.arange(len(gap))
+        keep = own[near[np.lexsort((j[own[near]], i[own[near]], gap[near]))[:k]]]
         return i[keep], j[keep], s[keep]
 
     def kernel(parts: Iterator[Slab]) -> pa.Table:
         held: dict[tuple[float, bool], tuple[np.ndarray, ...]] = {}
-        for i, j, same, s, _ in parts:
+        for i, j, same, s in parts:
             i, j, s = i[~same], j[~same], s[~same]
             for far, t in levels.items():
                 for above in (True, False):
@@ -180,7 +289,7 @@ def stats(rows: DataFrame, **how) -> DataFrame:
 
     def kernel(parts: Iterator[Slab]) -> pa.Table:
         rows_of = {True: [0, 0.0, np.inf, -np.inf], False: [0, 0.0, np.inf, -np.inf]}
-        for _, _, same, s, _ in parts:
+        for _, _, same, s in parts:
             for kind in (True, False):
                 own = s[same == kind]
                 if len(own):

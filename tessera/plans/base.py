@@ -33,7 +33,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings with label8 as its label, as the similarity engine takes them."""
-    return vectors(spark, sf_dir).select("vec_id", F.col("label8").alias("label"), F.col("v").alias("embedding"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", argmax("embedding", 1, 8).alias("label"), "embedding")
 
 
 def positional(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from ..operators import similarity as sim
 from ..operators.pooling import pooled, templates
 from . import base
 from .base import E, FOLD, HIST, LEVELS, POS, P, r6
-from .pairs import PG, probe_gallery, tpir_topk
+from .pairs import PG, sides, tpir_topk
 from .registry import query
 from .scalars import long_form
 
@@ -162,11 +163,27 @@ def agg_roc(spark, sf_dir):
 @query(f"WITH {P}, m AS (SELECT * FROM p WHERE j - i >= 2), n AS (SELECT count(*) FILTER (same) AS np, count(*) FILTER (NOT same) AS nn FROM m), t(thr) AS (VALUES (CAST(0.1 AS DOUBLE)), (CAST(0.2 AS DOUBLE))) SELECT thr AS threshold, {r6('count(*) FILTER (same AND s >= thr) * 1.0 / max(np)')} AS tpr, {r6('count(*) FILTER (NOT same AND s >= thr) * 1.0 / max(nn)')} AS fpr, min(i * 100000 + j) FILTER (NOT same AND s >= thr) AS first_false_accept, min(i * 100000 + j) FILTER (same AND s < thr) AS first_false_reject FROM m, n, t GROUP BY thr")
 def agg_roc_mat(spark, sf_dir):
     """Rates over the upper triangle of a score matrix from an offset on, with the first wrong pairs."""
-    scores = sim.all_scores(base.labelled(spark, sf_dir)).where("j - i >= 2")
-    rows = scores.select("*", F.explode(F.array(F.lit(0.1), F.lit(0.2))).alias("threshold"))
-    yes, place = F.col("score") >= F.col("threshold"), F.col("i") * 100000 + F.col("j")
-    rate = lambda c: rounded(F.count_if(c & yes) / F.count_if(c))
-    return rows.groupBy("threshold").agg(rate(F.col("same")).alias("tpr"), rate(~F.col("same")).alias("fpr"), F.min(F.when(~F.col("same") & yes, place)).alias("first_false_accept"), F.min(F.when(F.col("same") & ~yes, place)).alias("first_false_reject"))
+    levels = [0.1, 0.2]
+
+    def kernel(parts):
+        rows = {(t, k): [0, 0, None] for t in levels for k in (True, False)}
+        for i, j, same, s in parts:
+            far = j - i >= 2
+            place, same, s = (i * 100000 + j)[far], same[far], s[far]
+            for (t, kind), held in rows.items():
+                own = same == kind
+                yes = s[own] >= t
+                wrong = place[own][~yes if kind else yes]
+                first = [x for x in (held[2], int(wrong.min()) if len(wrong) else None) if x is not None]
+                held[:] = held[0] + len(yes), held[1] + int(yes.sum()), min(first, default=None)
+        t, kind = zip(*rows, strict=True)
+        n, yes, first = zip(*rows.values(), strict=True)
+        return pa.table({"threshold": pa.array(t, pa.float64()), "same": pa.array(kind, pa.bool_()), "n": pa.array(n, pa.int64()), "yes": pa.array(yes, pa.int64()), "first": pa.array(first, pa.int64())})
+
+    rows = sim.over_tiles(base.labelled(spark, sf_dir), kernel, "threshold double, same boolean, n long, yes long, first long")
+    own = lambda c, kind: F.when(F.col("same") == kind, F.col(c))
+    rate = lambda kind: rounded(F.sum(own("yes", kind)) / F.sum(own("n", kind)))
+    return rows.groupBy("threshold").agg(rate(True).alias("tpr"), rate(False).alias("fpr"), F.min(own("first", False)).alias("first_false_accept"), F.min(own("first", True)).alias("first_false_reject"))
 
 
 @query(f"WITH {ROC}, {LEVELS}, k AS (SELECT far, tpr, fpr, threshold, row_number() OVER (PARTITION BY far ORDER BY round(abs(fpr - far), 12), fpr, tpr) AS k FROM r, l) SELECT far, {r6('fpr')} AS fpr, {r6('tpr')} AS tpr FROM k WHERE k = 1")
@@ -205,19 +222,18 @@ RANKED = f"{PG}, rk AS (SELECT probe, gallery, lp = lg AS hit, s, row_number() O
 
 
 def ranked(spark, sf_dir, k):
-    order = Window.partitionBy("probe").orderBy(F.desc("s"), "gallery")
-    return probe_gallery(spark, sf_dir).withColumn("r", F.row_number().over(order).cast("long")).where(F.col("r") <= k)
+    return sim.best_of_sides(*sides(spark, sf_dir), k).where(F.col("rank") <= k)
 
 
 @query(f"WITH {RANKED} SELECT probe, r AS rank, gallery, s + 0.0 AS score FROM rk WHERE r <= 20")
 def topk_rank(spark, sf_dir):
-    return ranked(spark, sf_dir, 20).select("probe", F.col("r").alias("rank"), "gallery", (F.col("s") + 0.0).alias("score"))
+    return ranked(spark, sf_dir, 20).select("probe", "rank", "gallery", (F.col("score") + 0.0).alias("score"))
 
 
 @query(f"WITH {RANKED}, f AS (SELECT probe, min(r) FILTER (hit) AS f FROM rk GROUP BY 1), k(rank) AS (VALUES (1::BIGINT), (5::BIGINT), (20::BIGINT)) SELECT rank, {r6('avg(CASE WHEN f <= rank THEN 100.0 ELSE 0 END)')} AS rate FROM f, k GROUP BY rank")
 def agg_cmc(spark, sf_dir):
     """The part of probes with a mate among the first 1, 5 and 20 of the gallery."""
-    top = ranked(spark, sf_dir, 20).groupBy("probe").agg(F.min(F.when(F.col("lp") == F.col("lg"), F.col("r"))).alias("f"))
+    top = ranked(spark, sf_dir, 20).groupBy("probe").agg(F.min(F.when(F.col("same"), F.col("rank"))).alias("f"))
     rows = top.select("f", F.explode(F.array(*(F.lit(k).cast("long") for k in (1, 5, 20)))).alias("rank"))
     return rows.groupBy("rank").agg(rounded(F.avg(F.when(F.col("f") <= F.col("rank"), 100.0).otherwise(0.0))).alias("rate"))
 
@@ -228,11 +244,11 @@ DIR = f"{PG}, op AS (SELECT probe, gallery, lp = lg AND probe % 2 = 0 AND lg < 6
 @query(f"WITH {DIR} SELECT far, rank, {r6('avg(CASE WHEN f <= rank AND best >= thr THEN 1.0 ELSE 0 END)')} AS dir FROM pr, th, k WHERE mated GROUP BY far, rank")
 def agg_dir_far(spark, sf_dir):
     """Detection and identification rate: mates in the first ranks whose score passes the threshold that non-mates set."""
-    pairs = probe_gallery(spark, sf_dir).withColumn("mate", (F.col("lp") == F.col("lg")) & (F.col("probe") % 2 == 0) & (F.col("lg") < 6))
-    best = pairs.groupBy("probe").agg(F.bool_or("mate").alias("mated"), F.max("s").alias("top"), F.min(F.when(F.col("mate"), F.struct((-F.col("s")).alias("n"), "gallery"))).alias("b"))
-    ahead = pairs.join(best.where("mated").select("probe", "b"), "probe").where((-F.col("s") < F.col("b.n")) | ((-F.col("s") == F.col("b.n")) & (F.col("gallery") <= F.col("b.gallery"))))
-    first = ahead.groupBy("probe").agg(F.count("*").alias("f"), F.max(-F.col("b.n")).alias("best"))
+    probes, gallery = sides(spark, sf_dir)
+    known = F.when((F.col("vec_id") % 2 == 0) & (F.col("label") < 6), F.col("label")).otherwise(F.lit(-1))
+    best = sim.best_of_sides(probes.withColumn("label", known), gallery, 10).groupBy("probe").agg(F.bool_or("same").alias("mated"), F.max("score").alias("top"), F.max(F.when(F.col("same"), F.col("score"))).alias("best"), F.min(F.when(F.col("same"), F.col("rank"))).alias("f"))
     thresholds = far_thresholds(best.where("not mated").select(F.col("top").alias("score")), [0.01, 0.1, 0.5])
+    first = best.where("mated").select("probe", "f", "best")
     rows = first.join(F.broadcast(thresholds)).select("*", F.explode(F.array(F.lit(1).cast("long"), F.lit(10).cast("long"))).alias("rank"))
     return rows.groupBy("far", "rank").agg(rounded(F.avg(F.when((F.col("f") <= F.col("rank")) & (F.col("best") >= F.col("threshold")), 1.0).otherwise(0.0))).alias("dir"))
 
@@ -241,7 +257,7 @@ def far_thresholds(scores, fars, extra=1e-5):
     """(far, threshold): the round(n * far)-th highest score (halves to even); for 0 the highest and a little more."""
     n, top = scores.agg(F.count("*"), F.max("score")).first()
     wanted = points.levels(scores, fars).withColumn("rank", F.bround(F.col("far") * F.lit(n)).cast("long"))
-    made = points.threshold_by_rank(scores, wanted.where("rank > 0"), "rank", max(1, round(n * max(fars)) + 1))
+    made = points.threshold_by_rank(scores, wanted, "rank")
     return wanted.join(made.select("far", "threshold"), "far", "left").select("far", F.coalesce("threshold", F.lit(None if top is None else top + extra)).alias("threshold"))
 
 
@@ -303,7 +319,8 @@ def win_cumsum_desc(spark, sf_dir):
 
 @query(f"WITH {HIST} SELECT bin, CAST(sum(neg) OVER (ORDER BY bin) AS BIGINT) AS cum_neg FROM h")
 def win_cumsum_asc(spark, sf_dir):
-    return points.running(sim.histogram(base.labelled(spark, sf_dir)), "bin", ["neg"]).select("bin", "cum_neg")
+    up = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    return sim.histogram(base.labelled(spark, sf_dir)).select("bin", F.sum("neg").over(up).alias("cum_neg"))
 
 
 SCORES = f"{POS}, c AS (SELECT pair_id, score AS a, CASE WHEN pair_id % 4 = 0 THEN NULL ELSE round(score * 0.8 + dist * 0.05, 9) END AS b FROM pos)"

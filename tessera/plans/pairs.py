@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -25,16 +26,10 @@ def join_all_pairs(spark, sf_dir):
     return scored(sim.all_scores(base.labelled(spark, sf_dir)))
 
 
-def probe_gallery(spark, sf_dir):
-    """(probe, gallery, label of each, s): probes (ids divisible by 5) against the rest, as tiles of one engine."""
+def sides(spark, sf_dir):
+    """Probes (ids divisible by 5) and the rest, the gallery."""
     e = base.labelled(spark, sf_dir)
-    is_probe = F.col("vec_id") % 5 == 0
-    pairs = sim.all_scores(e.withColumn("label", F.when(is_probe, F.lit(1)).otherwise(F.lit(0)))).where("not same")
-    own = e.select(F.col("vec_id"), "label")
-    swap = F.col("i") % 5 == 0
-    made = pairs.select(F.when(swap, F.col("i")).otherwise(F.col("j")).alias("probe"), F.when(swap, F.col("j")).otherwise(F.col("i")).alias("gallery"), F.col("score").alias("s"))
-    made = made.join(own.select(F.col("vec_id").alias("probe"), F.col("label").alias("lp")), "probe")
-    return made.join(own.select(F.col("vec_id").alias("gallery"), F.col("label").alias("lg")), "gallery")
+    return e.where("vec_id % 5 = 0"), e.where("vec_id % 5 <> 0")
 
 
 PG = f"{E}, pg AS (SELECT a.vec_id AS probe, b.vec_id AS gallery, a.label8 AS lp, b.label8 AS lg, round(list_dot_product(a.v, b.v), 9) AS s FROM e a JOIN e b ON a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0)"
@@ -42,7 +37,7 @@ PG = f"{E}, pg AS (SELECT a.vec_id AS probe, b.vec_id AS gallery, a.label8 AS lp
 
 @query(f"WITH {PG} SELECT probe, gallery, lp = lg AS same, s + 0.0 AS score FROM pg")
 def join_cross_probe_gallery(spark, sf_dir):
-    return probe_gallery(spark, sf_dir).select("probe", "gallery", (F.col("lp") == F.col("lg")).alias("same"), (F.col("s") + 0.0).alias("score"))
+    return sim.side_scores(*sides(spark, sf_dir)).withColumn("score", F.col("score") + 0.0)
 
 
 @query(f"WITH {E}, g AS (SELECT DISTINCT o_orderkey % 200 AS p1, o_custkey % 200 AS p2 FROM orders) SELECT p1, p2, {r6('list_dot_product(a.v, b.v)')} AS score FROM g JOIN e a ON a.vec_id = p1 JOIN e b ON b.vec_id = p2")
@@ -136,10 +131,8 @@ def join_semi_completed(spark, sf_dir):
 
 @query(f"WITH {P} SELECT i, j, {PAIR_SQL} FROM p WHERE li = lj")
 def join_same_label(spark, sf_dir):
-    """Pairs of one label by an equi-join on it: nothing of the size of all pairs is made."""
-    e = base.vectors(spark, sf_dir)
-    a, b = e.select(F.col("vec_id").alias("i"), "label", "v"), e.select(F.col("vec_id").alias("j"), "label", F.col("v").alias("w"))
-    return a.join(b, "label").where("i < j").select("i", "j", (F.round(dot("v", "w"), 9) + 0.0).alias("score"))
+    """Pairs of one label, from tiles within each label: nothing of the size of all pairs is made, and no label meets in one task."""
+    return sim.all_scores(table(spark, sf_dir, "embeddings"), within=True).select("i", "j", (F.col("score") + 0.0).alias("score"))
 
 
 CENTERS = "c AS (SELECT label8 AS class, vec_id % 3 AS k, d, avg(v[d]) AS x FROM (SELECT label8, vec_id, v, unnest(range(1, 65)) AS d FROM e) GROUP BY 1, 2, 3), cv AS (SELECT class, k, list(x ORDER BY d) AS w FROM c GROUP BY 1, 2)"
@@ -208,20 +201,27 @@ def sim_v0(spark, sf_dir):
 
 @query(f"WITH {P}, {base.LEVELS}, n AS (SELECT count(*) FILTER (NOT same) AS nn, count(*) FILTER (same) AS np FROM p), k AS (SELECT s, row_number() OVER (ORDER BY s DESC) AS r FROM p WHERE NOT same), t AS (SELECT far, s AS thr FROM l, n JOIN k ON r = CAST(floor(far * nn) AS BIGINT) + 1) SELECT far, {r6('thr')} AS threshold, {r6('count(*) FILTER (same AND s >= thr) / max(np)')} AS tpir FROM t, n, p GROUP BY far, thr")
 def sim_topk(spark, sf_dir):
-    """TPIR from the k highest negatives, k = the greatest level's count and one: thresholds by rank, then one pass over the positives."""
+    """TPIR at exact thresholds by rank among the negatives."""
     return tpir_topk(spark, sf_dir)
 
 
-def tpir_topk(spark, sf_dir):
+def tpir_topk(spark, sf_dir, bins=20_000):
+    """A histogram says in which bin each threshold lies; a second pass counts the scores of those bins, a few a level, one by one."""
     rows = base.labelled(spark, sf_dir)
-    counts = sim.pair_counts(rows).first()
-    k = max(int(max(base.FARS) * counts["n_neg"]) + 1, 1000)
-    heap = sim.extremes(rows, k, same=False, highest=True)
-    wanted = points.levels(rows, base.FARS).withColumn("rank", (F.floor(F.col("far") * F.lit(counts["n_neg"])) + 1).cast("long"))
-    levels = points.threshold_by_rank(heap.select("score"), wanted, "rank", k)
-    pos = sim.pairs_where(rows, pos_from=-2).select("score")
-    made = pos.join(F.broadcast(levels)).groupBy("far", "threshold").agg((F.count_if(F.col("score") >= F.col("threshold")) / F.lit(counts["n_pos"])).alias("tpir"))
-    return base.rounded_all(made, "threshold", "tpir")
+    hist = points.cumulated(sim.histogram(rows, bins=bins))
+    totals = sim.pair_counts(rows).first()
+    wanted = points.levels(rows, base.FARS).withColumn("rank", (F.floor(F.col("far") * F.lit(totals["n_neg"])) + 1).cast("long"))
+    place = (F.col("rank") <= F.col("cum_neg")) & (F.col("rank") > F.col("cum_neg") - F.col("neg"))
+    found = wanted.join(hist, place).select("far", "rank", "bin", (F.col("cum_neg") - F.col("neg")).alias("n"), (F.col("cum_pos") - F.col("pos")).alias("p")).collect()  # one row a level
+    edges = {r["bin"]: (-np.inf if r["bin"] == 0 else -1 + (r["bin"] - 1) * 2 / bins, np.inf if r["bin"] == bins - 1 else -1 + (r["bin"] + 2) * 2 / bins) for r in found}
+    counts = sim.score_counts(rows, list(edges.values()))
+    fine = counts.withColumn("bin", bin_index("score", -1, 1, bins)).where(F.col("bin").isin(list(edges)))
+    down = Window.partitionBy("bin").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    fine = fine.withColumns({"cum_neg": F.sum("neg").over(down), "cum_pos": F.sum("pos").over(down)})
+    at = rows.sparkSession.createDataFrame([tuple(r) for r in found], "far double, rank long, bin long, n long, p long")
+    inside = (F.col("rank") - F.col("n") <= F.col("cum_neg")) & (F.col("rank") - F.col("n") > F.col("cum_neg") - F.col("neg"))
+    made = fine.join(F.broadcast(at), "bin").where(inside)
+    return made.select("far", rounded("score").alias("threshold"), rounded((F.col("p") + F.col("cum_pos")) / F.lit(totals["n_pos"])).alias("tpir"))
 
 
 @query(f"WITH {HIST} SELECT bin, pos, neg FROM h")
@@ -252,11 +252,10 @@ def sim_v4(spark, sf_dir):
 
 @query(f"WITH {HIST} SELECT bin, pos, neg FROM h")
 def sim_v5(spark, sf_dir):
-    """Negatives as all pairs less the positives, which an equi-join on the label gives."""
-    e = base.vectors(spark, sf_dir)
-    full = sim.histogram(e.select("vec_id", F.lit(0).alias("label"), F.col("v").alias("embedding")))
-    a, b = e.select(F.col("vec_id").alias("i"), "label8", "v"), e.select(F.col("vec_id").alias("j"), "label8", F.col("v").alias("w"))
-    pos = a.join(b, "label8").where("i < j").groupBy(bin_index(F.round(dot("v", "w"), 9), -1, 1, 2000).alias("bin")).agg(F.count("*").alias("p"))
+    """Negatives as all pairs less the positives, which tiles within each label give."""
+    e = base.labelled(spark, sf_dir)
+    full = sim.histogram(e.withColumn("label", F.lit(0)))
+    pos = sim.histogram(e, within=True).select("bin", F.col("pos").alias("p"))
     return full.join(pos, "bin", "left").select("bin", F.coalesce("p", F.lit(0)).alias("pos"), (F.col("pos") - F.coalesce("p", F.lit(0))).alias("neg"))
 
 
@@ -277,7 +276,7 @@ def sim_portable(spark, sf_dir):
     """Totals of the histogram, which must be the number of pairs."""
     rows = base.labelled(spark, sf_dir)
     n = rows.count()
-    made = sim.histogram(rows, n=n).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    made = sim.histogram(rows).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return made.select("pos", "neg", (F.col("pos") + F.col("neg") == F.lit(n * (n - 1) // 2)).alias("conserved"))
 
 
@@ -326,8 +325,9 @@ def sim_pair_verify(spark, sf_dir):
 @query(f"WITH {P}, a AS (SELECT i, j, same, s FROM p WHERE s >= 0.3 ORDER BY s DESC, i, j LIMIT 150), b AS (SELECT i, j, same, s FROM p WHERE s < -0.3 ORDER BY s, i, j LIMIT 150) SELECT 'above' AS mode, i, j, same, {PAIR_SQL} FROM a UNION ALL SELECT 'below', i, j, same, {PAIR_SQL} FROM b")
 def pair_collect_cap(spark, sf_dir):
     """At most 150 pairs on each side, the furthest first."""
-    above = sim.pairs_where(base.labelled(spark, sf_dir), neg_from=0.3, pos_from=0.3).orderBy(F.desc("score"), "i", "j").limit(150)
-    below = sim.all_scores(base.labelled(spark, sf_dir)).where("score < -0.3").orderBy("score", "i", "j").limit(150)
+    rows = base.labelled(spark, sf_dir)
+    above = sim.extremes(rows, 150, None, True).where("score >= 0.3")
+    below = sim.extremes(rows, 150, None, False).where("score < -0.3")
     return scored(above).select(F.lit("above").alias("mode"), "*").union(scored(below).select(F.lit("below"), "*"))
 
 

@@ -33,6 +33,44 @@ def test_pairs_are_conserved(spark, block_rows):
     assert len(pairs) == n * (n - 1) // 2 and all(i < j for i, j in pairs)
 
 
+@pytest.mark.parametrize("block_rows", [5, 1000])
+def test_pairs_within_labels(spark, block_rows):
+    rng = np.random.default_rng(2)
+    labels = np.where(rng.random(90) < 0.6, 0, rng.integers(1, 30, 90))
+    rows = collection(spark, rng.standard_normal((90, 4)), labels).unionByName(spark.sql("select 900L as vec_id, cast(null as long) as label, array(1d, 0d, 0d, 0d) as embedding"))
+    got = sorted((r.i, r.j) for r in sim.all_scores(rows, within=True, block_rows=block_rows).collect())
+    assert got == [(i, j) for i in range(90) for j in range(i + 1, 90) if labels[i] == labels[j]]
+
+
+@pytest.mark.parametrize("block_rows", [6, 1000])
+def test_best_of_sides(spark, block_rows):
+    """Ranks up to k and the best of the own label equal brute force, ties included."""
+    rng = np.random.default_rng(3)
+    x, labels = rng.integers(-1, 2, (60, 3)), rng.integers(0, 5, 60)
+    rows = collection(spark, x, labels)
+    k, got = 4, {}
+    for r in sim.best_of_sides(rows.where("vec_id < 20"), rows.where("vec_id >= 20"), k, block_rows=block_rows).collect():
+        got.setdefault(r.probe, []).append((-r.score, r.gallery, r.same, r["rank"]))
+    for p in range(20):
+        full = sorted((-float(x[p] @ x[g]), g, bool(labels[p] == labels[g])) for g in range(20, 60))
+        mine = sorted(got[p], key=lambda r: r[3])
+        assert [r[:3] for r in mine[:k]] == full[:k] and [r[3] for r in mine[:k]] == list(range(1, k + 1))
+        assert min((r[:2] for r in mine if r[2]), default=None) == min((r[:2] for r in full if r[2]), default=None)
+
+
+def test_threshold_by_rank(spark):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.standard_normal(300), np.full(200, 0.25), [7.0, -9.0]])
+    scores = spark.createDataFrame([(float(v),) for v in values], "score double")
+    ranks = spark.createDataFrame([(r,) for r in (0, 1, 2, 100, 250, 400, 502, 9999)], "r long")
+    want = np.sort(values)[::-1]
+    for bins in (1, 10, 1 << 16):
+        got = {r.r: r.threshold for r in points.threshold_by_rank(scores, ranks, "r", bins).collect()}
+        assert got == {r: want[min(r, 502) - 1] for r in (1, 2, 100, 250, 400, 502, 9999)}
+    assert points.threshold_by_rank(scores.where("score > 99"), ranks, "r").count() == 0
+    assert points.threshold_by_rank(spark.createDataFrame([(3.0,)] * 3, "score double"), ranks, "r").select("threshold").distinct().collect() == [(3.0,)]
+
+
 def test_tiles_equal_a_native_join(spark, sf_dir):
     e = base.vectors(spark, sf_dir).where("label in (1, 2)")
     native = e.alias("a").join(e.alias("b"), F.col("a.vec_id") < F.col("b.vec_id")).select(F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j"), F.round(dot("a.v", "b.v"), 9).alias("s"))
