@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.graph import shared_folder
-from ..sources import files, shards
+from ..sources import files, keyvalue, shards
 from . import base
 from .base import E, r6
 from .registry import query, table
@@ -193,6 +193,37 @@ def scan_mds(spark, sf_dir):
     return shard_rows(spark, sf_dir)
 
 
+def stored(spark, sf_dir, count, times=1):
+    """Where samples lie as key-value stores, and (store, entries) of each; payloads are repeated `times`."""
+    at = place(spark, "stores")
+    rows = payloads(spark, sf_dir).withColumn("payload", F.repeat(F.col("payload").cast("string"), times).cast("binary"))
+    return at, keyvalue.write_key_values(rows, at, count)
+
+
+@query("SELECT lpad(CAST(vec_id AS VARCHAR), 8, '0') AS key, CAST(label AS BIGINT) AS label, 'img-' || vec_id || repeat('x', CAST(vec_id % 7 AS INTEGER)) AS payload FROM embeddings WHERE vec_id < 100000000")
+def scan_lmdb(spark, sf_dir):
+    """Samples of a key-value store."""
+    at, made = stored(spark, sf_dir, 2)
+    made.count()
+    return keyvalue.key_values(spark, at).select("key", "label", F.col("payload").cast("string").alias("payload"))
+
+
+@query("SELECT count(*) AS entries, count(DISTINCT label) AS num_classes FROM embeddings")
+def sink_lmdb(spark, sf_dir):
+    """One store, and what it says of itself."""
+    at, made = stored(spark, sf_dir, 1)
+    made.count()
+    return spark.createDataFrame([(f["len"], f["num_classes"]) for f in keyvalue.facts(at)], "entries long, num_classes long")
+
+
+@query("SELECT CAST(least(4, count(*)) AS BIGINT) AS stores, CAST(sum(400 * (4 + length(CAST(vec_id AS VARCHAR)) + vec_id % 7)) AS BIGINT) AS n_bytes FROM embeddings")
+def sink_lmdb_large(spark, sf_dir):
+    """Several stores by ranges of keys, with values on pages of their own."""
+    at, made = stored(spark, sf_dir, 4, 400)
+    count = made.count()
+    return keyvalue.key_values(spark, at).agg(F.lit(count).cast("long").alias("stores"), F.sum(F.octet_length("payload").cast("long")).alias("n_bytes"))
+
+
 def array_rows(spark, sf_dir):
     at = place(spark, "array")
     shards.write_array(base.vectors(spark, sf_dir).select(F.col("vec_id").alias("idx"), "v"), at, 64)

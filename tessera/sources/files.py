@@ -97,25 +97,6 @@ def arrow_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return files.select("content").mapInArrow(run, schema)
 
 
-def key_values(spark: SparkSession, path: str) -> DataFrame:
-    """LMDB stores, where the lmdb library is installed."""
-    try:
-        import lmdb  # noqa: F401
-    except ImportError as e:
-        raise NotImplementedError("LMDB needs the library `lmdb`, which is not installed") from e
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import lmdb
-
-        for batch in batches:
-            for store in batch["path"]:
-                with lmdb.open(store, readonly=True, lock=False) as env, env.begin() as view:
-                    out = [(k.decode(), int.from_bytes(v[:4], "little", signed=True), v[4:]) for k, v in view.cursor() if not k.startswith(b"__")]
-                yield pd.DataFrame(out, columns=["key", "label", "payload"])
-
-    return spark.createDataFrame([(path.removeprefix("file:"),)], "path string").mapInPandas(run, "key string, label long, payload binary")
-
-
 OPTIONAL = {"hdf5": "h5py", "zarr": "zarr", "mds": "streaming"}
 
 
@@ -177,6 +158,8 @@ def read_any(spark: SparkSession, path: str, **how) -> DataFrame:
         register(spark)
         return spark.read.format("recordio").load(path)
     if kind == "lmdb":
+        from .keyvalue import key_values
+
         return key_values(spark, path)
     if kind == "tar":
         return archives(spark, path)
