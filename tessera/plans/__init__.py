@@ -1,6 +1,6 @@
 """All queries of the engine but those on training text."""
 
-from . import files, metrics, pairs, scalars, tables  # noqa: F401
+from . import evaluators, files, metrics, pairs, scalars, tables  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
