@@ -28,7 +28,7 @@ def moved_by_points():
     return lambda batch, points: np.asarray(batch["embedding"], np.float32) + np.asarray(points, np.float32)[:, :1]
 
 
-@query("SELECT vec_id, round(CAST(embedding[len(embedding)] AS DOUBLE) + CAST(embedding[1] AS DOUBLE), 5) + 0.0 AS first, round(CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS score FROM embeddings")
+@query("SELECT vec_id, round(CAST(embedding[len(embedding)] + embedding[1] AS DOUBLE), 5) + 0.0 AS first, round(CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS score FROM embeddings")
 def infer_slot(spark, sf_dir):
     """All rows through an aligner and a model that takes its points."""
     rows = table(spark, sf_dir, "embeddings")

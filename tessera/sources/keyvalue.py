@@ -28,8 +28,8 @@ NO_PAGE = (1 << 64) - 1
 MOST_KEY = 511
 #: A node beyond this size has its value on pages of its own.
 MOST_NODE = ((PAGE - HEADER) // 2 & -2) - 2
-PAGE_HEADER, NODE_HEADER = struct.Struct("<QHHHH"), struct.Struct("<HHHH")
-META_HEAD, TREE, META_TAIL = struct.Struct("<IIQQ"), struct.Struct("<IHHQQQQQ"), struct.Struct("<QQ")
+PAGE_HEADER, NODE_HEADER = "<QHHHH", "<HHHH"
+META_HEAD, TREE, META_TAIL = "<IIQQ", "<IHHQQQQQ", "<QQ"
 
 KEY_VALUES = "key string, label long, payload binary"
 #: Bytes of payload in a batch that a reading task hands on.
@@ -51,7 +51,7 @@ class Writer:
         for node in nodes:
             at -= len(node)
             places.append(at)
-        head = PAGE_HEADER.pack(self.next, 0, kind, HEADER + 2 * len(nodes), at) + struct.pack(f"<{len(places)}H", *places)
+        head = struct.pack(PAGE_HEADER, self.next, 0, kind, HEADER + 2 * len(nodes), at) + struct.pack(f"<{len(places)}H", *places)
         self.file.write(head + bytes(at - len(head)) + b"".join(reversed(nodes)))
         self.counts[kind] += 1
         self.next += 1
@@ -72,7 +72,7 @@ class Writer:
         self.last, flags, size = key, 0, len(value)
         if NODE + len(key) + size > MOST_NODE:
             value, flags = struct.pack("<Q", self.overflow(value)), BIG
-        node = NODE_HEADER.pack(size & 0xFFFF, size >> 16, flags, len(key)) + key + value
+        node = struct.pack(NODE_HEADER, size & 0xFFFF, size >> 16, flags, len(key)) + key + value
         return node + bytes(len(node) % 2)
 
     def write(self, items: Iterable[tuple[bytes, bytes]]) -> None:
@@ -93,16 +93,16 @@ class Writer:
         while len(level) > 1:
             level, depth = [(group[0][0], self.page(BRANCH, [self.branch_node(b"" if i == 0 else k, p) for i, (k, p) in enumerate(group)])) for group in grouped(level)], depth + 1
         root = level[0][1] if level else NO_PAGE
-        free = TREE.pack(PAGE, INTEGER_KEYS, 0, 0, 0, 0, 0, NO_PAGE)
-        trees = TREE.pack(0, 0, 0, 0, 0, 0, 0, NO_PAGE), TREE.pack(0, 0, depth, self.counts[BRANCH], self.counts[LEAF], self.counts[OVERFLOW], self.entries, root)
+        free = struct.pack(TREE, PAGE, INTEGER_KEYS, 0, 0, 0, 0, 0, NO_PAGE)
+        trees = struct.pack(TREE, 0, 0, 0, 0, 0, 0, 0, NO_PAGE), struct.pack(TREE, 0, 0, depth, self.counts[BRANCH], self.counts[LEAF], self.counts[OVERFLOW], self.entries, root)
         self.file.seek(0)
         for n, (tree, last) in enumerate(zip(trees, (1, self.next - 1), strict=True)):
-            body = PAGE_HEADER.pack(n, 0, META, 0, 0) + META_HEAD.pack(MAGIC, VERSION, 0, max(1 << 20, self.next * PAGE)) + free + tree + META_TAIL.pack(last, n)
+            body = struct.pack(PAGE_HEADER, n, 0, META, 0, 0) + struct.pack(META_HEAD, MAGIC, VERSION, 0, max(1 << 20, self.next * PAGE)) + free + tree + struct.pack(META_TAIL, last, n)
             self.file.write(body + bytes(PAGE - len(body)))
 
     @staticmethod
     def branch_node(key: bytes, page: int) -> bytes:
-        node = NODE_HEADER.pack(page & 0xFFFF, page >> 16 & 0xFFFF, page >> 32, len(key)) + key
+        node = struct.pack(NODE_HEADER, page & 0xFFFF, page >> 16 & 0xFFFF, page >> 32, len(key)) + key
         return node + bytes(len(node) % 2)
 
 
@@ -130,12 +130,12 @@ class Store:
         found = []
         for n in (0, 1):
             at = n * PAGE + HEADER
-            magic, version, _, _ = META_HEAD.unpack_from(self.data, at)
-            size = TREE.unpack_from(self.data, at + META_HEAD.size)[0]
+            magic, version, _, _ = struct.unpack_from(META_HEAD, self.data, at)
+            size = struct.unpack_from(TREE, self.data, at + struct.calcsize(META_HEAD))[0]
             if (magic, version, size) != (MAGIC, VERSION, PAGE):
                 raise ValueError(f"{path} is not an LMDB store with pages of {PAGE} bytes")
-            tree = TREE.unpack_from(self.data, at + META_HEAD.size + TREE.size)
-            found.append((META_TAIL.unpack_from(self.data, at + META_HEAD.size + 2 * TREE.size)[1], tree[6], tree[7]))
+            tree = struct.unpack_from(TREE, self.data, at + struct.calcsize(META_HEAD) + struct.calcsize(TREE))
+            found.append((struct.unpack_from(META_TAIL, self.data, at + struct.calcsize(META_HEAD) + 2 * struct.calcsize(TREE))[1], tree[6], tree[7]))
         _, self.entries, self.root = max(found)
 
     def __enter__(self) -> Store:
@@ -147,12 +147,12 @@ class Store:
     def nodes(self, page: int) -> tuple[int, list[int]]:
         """A page's kind and where its nodes begin."""
         at = page * PAGE
-        _, _, kind, lower, _ = PAGE_HEADER.unpack_from(self.data, at)
+        _, _, kind, lower, _ = struct.unpack_from(PAGE_HEADER, self.data, at)
         n = (lower - HEADER) // 2
         return kind, [at + x for x in struct.unpack_from(f"<{n}H", self.data, at + HEADER)]
 
     def child(self, at: int) -> int:
-        lo, hi, top, _ = NODE_HEADER.unpack_from(self.data, at)
+        lo, hi, top, _ = struct.unpack_from(NODE_HEADER, self.data, at)
         return lo | hi << 16 | top << 32
 
     def units(self) -> list[int]:
@@ -168,7 +168,7 @@ class Store:
             if kind & BRANCH:
                 yield from self.items(self.child(at))
                 continue
-            lo, hi, flags, length = NODE_HEADER.unpack_from(self.data, at)
+            lo, hi, flags, length = struct.unpack_from(NODE_HEADER, self.data, at)
             if flags & (SUBTREE | REPEATED):
                 raise ValueError("named databases and repeated keys are not read")
             size, key = lo | hi << 16, self.data[at + NODE : at + NODE + length]
@@ -183,7 +183,7 @@ class Store:
             kind, nodes = self.nodes(page)
             if not kind & BRANCH:
                 return next((v for k, v in self.items(page) if k == key), None)
-            keys = [self.data[at + NODE : at + NODE + NODE_HEADER.unpack_from(self.data, at)[3]] for at in nodes]
+            keys = [self.data[at + NODE : at + NODE + struct.unpack_from(NODE_HEADER, self.data, at)[3]] for at in nodes]
             page = self.child(nodes[max(i for i, k in enumerate(keys) if i == 0 or k <= key)])
         return None
 
