@@ -42,6 +42,23 @@ def test_pairs_within_labels(spark, block_rows):
     assert got == [(i, j) for i in range(90) for j in range(i + 1, 90) if labels[i] == labels[j]]
 
 
+def largest_part(monkeypatch, engine, tiles, call):
+    """(rows of the largest part, rows of all) that a query's kernel gives of one tile."""
+    held = {}
+    monkeypatch.setattr(sim, engine, lambda *_, parts=sim.grid, **__: held.update(kernel=_[-2], parts=parts))
+    call()
+    sizes = [t.num_rows for t in held["kernel"](held["parts"](*tiles))]
+    return max(sizes), sum(sizes)
+
+
+def test_listed_pairs_leave_a_tile_in_parts(monkeypatch):
+    rng = np.random.default_rng(5)
+    tile = np.arange(1500), rng.integers(0, 3, 1500), rng.standard_normal((1500, 4))
+    for within in (False, True):
+        most, total = largest_part(monkeypatch, "over_tiles", (tile, tile), lambda w=within: sim.all_scores(None, within=w))
+        assert total == 1500 * 1499 // 2 and most <= sim.LISTED * sim.WIDE
+
+
 @pytest.mark.parametrize("block_rows", [6, 1000])
 def test_best_of_sides(spark, block_rows):
     """Ranks up to k and the best of the own label equal brute force, ties included."""
