@@ -59,6 +59,13 @@ def test_listed_pairs_leave_a_tile_in_parts(monkeypatch):
         assert total == 1500 * 1499 // 2 and most <= sim.LISTED * sim.WIDE
 
 
+def test_probes_and_gallery_leave_a_tile_in_parts(monkeypatch):
+    rng = np.random.default_rng(6)
+    probes, gallery = ((np.arange(n), rng.integers(0, 3, n), rng.standard_normal((n, 4))) for n in (700, 5000))
+    most, total = largest_part(monkeypatch, "over_sides", (probes, gallery), lambda: sim.side_scores(None, None))
+    assert total == 700 * 5000 and most <= sim.LISTED * sim.WIDE
+
+
 @pytest.mark.parametrize("block_rows", [6, 1000])
 def test_best_of_sides(spark, block_rows):
     """Ranks up to k and the best of the own label equal brute force, ties included."""
