@@ -3,6 +3,7 @@
 import json
 import os
 import struct
+from unittest.mock import MagicMock
 
 import numpy as np
 import pytest
@@ -45,7 +46,7 @@ def test_pairs_within_labels(spark, block_rows):
 def largest_part(monkeypatch, engine, tiles, call):
     """(rows of the largest part, rows of all) that a query's kernel gives of one tile."""
     held = {}
-    monkeypatch.setattr(sim, engine, lambda *_, parts=sim.grid, **__: held.update(kernel=_[-2], parts=parts))
+    monkeypatch.setattr(sim, engine, lambda *_, parts=sim.grid, **__: held.update(kernel=_[-2], parts=parts) or MagicMock())
     call()
     sizes = [t.num_rows for t in held["kernel"](held["parts"](*tiles))]
     return max(sizes), sum(sizes)
@@ -66,6 +67,14 @@ def test_probes_and_gallery_leave_a_tile_in_parts(monkeypatch):
     assert total == 700 * 5000 and most <= sim.LISTED * sim.WIDE
 
 
+def test_pairs_of_a_large_label_leave_a_tile_in_parts(spark, sf_dir, monkeypatch):
+    from tessera.plans import QUERIES
+
+    tile = np.arange(1500), np.zeros(1500, np.int64), np.random.default_rng(7).standard_normal((1500, 4))
+    most, total = largest_part(monkeypatch, "over_tiles", (tile, tile), lambda: QUERIES["join_same_label"](spark, sf_dir))
+    assert total == 1500 * 1499 // 2 and most <= sim.LISTED * sim.WIDE
+
+
 @pytest.mark.parametrize("block_rows", [6, 1000])
 def test_best_of_sides(spark, block_rows):
     """Ranks up to k and the best of the own label equal brute force, ties included."""
