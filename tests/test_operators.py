@@ -308,3 +308,38 @@ def test_mixture_equals_the_unbinned_fit(spark):
     assert abs(share_ - share) < 1e-6 and abs(var_ - var) < 1e-6
     assert max(abs(a - b) for a, b in zip(sorted(r.posterior for r in got.collect()), sorted(g.tolist()), strict=True)) < 5e-3
     assert {r.posterior for r in mixture(spark.createDataFrame([(1.0,), (1.0,), (None,)], "v double"), "v")[0].collect()} == {None}
+
+
+@pytest.mark.parametrize("ids", [range(300), range(0, 3 * sampling.M, sampling.M // 40), range(0, 90 * sampling.M, sampling.M), range(-50, 200)])
+@pytest.mark.parametrize("k", [1, 40, 10**6])
+def test_least_keys_equal_all_pairs(ids, k, monkeypatch):
+    monkeypatch.setattr(sampling, "CANDIDATES", 500)
+    rng = np.random.default_rng(k)
+    ids = rng.permutation(np.array(ids, np.int64))
+    key = lambda i, j: int(np.fmod(i * sampling.A + j * sampling.B, sampling.M))
+    for a, b, own in ((ids, ids, True), (ids[::2], ids[1::2], False), (ids[:1], ids[1:], False), (ids[:0], ids, False)):
+        every = {(min(i, j), max(i, j)) for i in a.tolist() for j in b.tolist() if i != j}
+        want = sorted((key(i, j), i, j) for i, j in every)[:k]
+        assert sorted((key(i, j), i, j) for i, j in zip(*(x.tolist() for x in sampling.least_keys(a, b, k, own)), strict=True)) == want
+
+
+def test_positive_pairs_of_a_large_class_are_not_all_made():
+    """A class of 200,000 rows has 2 * 10**10 pairs, which nothing can list here."""
+    i, j = sampling.least_keys(np.arange(200_000), np.arange(200_000), 1760, True)
+    assert len(i) == 1760 and (i < j).all() and np.fmod(i * sampling.A + j * sampling.B, sampling.M).max() < 10
+
+
+@pytest.mark.parametrize("block", [16, 1000])
+def test_positive_pairs_of_tiles(spark, block, monkeypatch):
+    monkeypatch.setattr(sampling, "BLOCK", block)
+    monkeypatch.setattr(sampling, "SMALL", 5)
+    labels = [0] * 70 + [1] * 40 + [2] * 4 + [3, None]
+    rows = spark.createDataFrame(list(enumerate(labels)), "vec_id long, label int")
+    got = {}
+    for r in sampling.positive_pairs(rows, "vec_id", "label").collect():
+        got.setdefault(r.label, set()).add((r.i, r.j))
+    key = lambda p: ((p[0] * sampling.A + p[1] * sampling.B) % sampling.M, p)
+    for label, cap in ((0, 612), (1, 532), (2, 200)):
+        own = [i for i, x in enumerate(labels) if x == label]
+        assert got.pop(label) == set(sorted(((i, j) for i in own for j in own if i < j), key=key)[:cap])
+    assert not got
