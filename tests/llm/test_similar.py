@@ -97,3 +97,23 @@ def test_links_at_other_distances(spark, distance):
     names = [got.get(simhash.signed(f), simhash.signed(f)) for f in fps]
     want = brute_components(fps, distance)
     assert [names.index(n) for n in names] == [want.index(w) for w in want]
+
+
+def test_fingerprints_find_near_copies_without_bands(spark, monkeypatch):
+    """Texts that differ in one word of 3000 are found by their fingerprints alone; texts with like fingerprints but other words are not linked."""
+    monkeypatch.setattr(similar, "bands", lambda held: np.zeros(0, np.int64))
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(4):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 3000)]
+        texts.append(" ".join(words))
+        words[1500] = "x"
+        texts.append(" ".join(words))
+    prints = [similar.fingerprint(similar.shingles(t.encode())) for t in texts]
+    assert any(a != b for a, b in zip(prints[::2], prints[1::2], strict=True))
+    near = [((a ^ b) & (1 << 64) - 1).bit_count() <= 2 for a, b in zip(prints[::2], prints[1::2], strict=True)]
+    assert sum(near) >= 2
+    assert kept(spark, list(enumerate(texts))) == sorted([0, 2, 4, 6] + [2 * i + 1 for i in range(4) if not near[i]])
+    monkeypatch.setattr(similar, "fingerprint", lambda held: len(held) % 2)
+    other = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, n)) for n in (60, 60, 61, 62)]
+    assert kept(spark, list(enumerate(other))) == [0, 1, 2, 3]
