@@ -91,11 +91,16 @@ class PrefixCounter:
 
     def merged(self, letters: list[str]) -> list[str]:
         """BPE as it is defined: join the pair of least rank, leftmost first, until none is left."""
-        while len(letters) > 1:
-            rank, i = min((self.ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(letters, letters[1:], strict=False)))
-            if rank == 1 << 60:
-                break
+        rank, none = self.ranks.get, 1 << 60
+        pairs = [rank(p, none) for p in zip(letters, letters[1:], strict=False)]
+        while pairs and (best := min(pairs)) < none:
+            i = pairs.index(best)
             letters[i : i + 2] = [letters[i] + letters[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank((letters[i - 1], letters[i]), none)
+            if i < len(pairs):
+                pairs[i] = rank((letters[i], letters[i + 1]), none)
         return letters
 
     def follows(self, a: str, b: str, last: bool) -> bool:

@@ -332,3 +332,25 @@ def test_clustered_vectors_need_few_leaves():
         hit, seen = hit + len(near & set(held.tolist())), seen + len(held)
     queries = len(range(0, len(x), 200))
     assert hit / (5 * queries) >= 0.9 and seen / queries / len(x) < 0.25
+
+
+def test_merges_ask_for_new_neighbours_only():
+    """Merging a word of n letters looks up at most 3 n pairs, and gives what the definition gives."""
+    from tessera.llm import tokens
+
+    made = tokens.PrefixCounter(tokens.tokenizer_path())
+    ranks, asked = made.ranks, []
+
+    class Asked(dict):
+        def get(self, key, none=None):
+            asked.append(key)
+            return ranks.get(key, none)
+
+    made.ranks = Asked()
+    for word in ("internationalization" * 5, "zqxjkvbpygfwmucldrhsnioate", "a", "aaaaaaaaaaaaaaa"):
+        want = [*word]
+        while ranked := [(ranks[p], i) for i, p in enumerate(zip(want, want[1:])) if p in ranks]:
+            i = min(ranked)[1]
+            want[i : i + 2] = [want[i] + want[i + 1]]
+        asked.clear()
+        assert made.merged([*word]) == want and len(asked) <= 3 * len(word)
