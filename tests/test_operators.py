@@ -3,9 +3,11 @@
 import json
 import os
 import struct
+import tracemalloc
 from unittest.mock import MagicMock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +77,34 @@ def test_pairs_of_a_large_label_leave_a_tile_in_parts(spark, sf_dir, monkeypatch
     assert total == 1500 * 1499 // 2 and most <= sim.LISTED * sim.WIDE
 
 
+def test_a_task_holds_a_large_tile_of_a_label_once(spark, sf_dir, monkeypatch):
+    """Beside the vectors of both sides as they travel, a task of join_same_label holds less than 48 MB when its first pairs leave."""
+    from tessera.plans import QUERIES
+
+    n, width, held = 60_000, 64, {}
+    monkeypatch.setattr(sim, "over_tiles", lambda *_, parts=sim.slabs, **__: held.update(how=(_[-2], _[-1], parts)) or MagicMock())
+    QUERIES["join_same_label"](spark, sf_dir)
+    frame = MagicMock()
+    kernel, schema, parts = held["how"]
+    sim.dealt(frame, frame, ["label", "lo", "hi"], kernel, schema, parts)
+    run = frame.select.return_value.union.return_value.groupBy.return_value.applyInArrow.call_args.args[0]
+    rng = np.random.default_rng(8)
+
+    def batches():
+        for at in range(0, 2 * n, 10_000):
+            v = pa.ListArray.from_arrays(pa.array(np.arange(0, 10_001 * width, width, dtype=np.int32)), pa.array(rng.random(10_000 * width, np.float32)))
+            yield pa.RecordBatch.from_pydict({"label": np.zeros(10_000, np.int64), "id": np.arange(at, at + 10_000), "v": v, "side": np.full(10_000, at >= n)})
+
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    made = run(batches())
+    got = [next(made).num_rows for _ in range(3)]
+    arrow, most = pa.total_allocated_bytes() - before, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [sim.LISTED * sim.WIDE] * 3
+    assert arrow + most < 2 * n * width * 4 + (48 << 20)
+
+
 @pytest.mark.parametrize("block_rows", [6, 1000])
 def test_best_of_sides(spark, block_rows):
     """Ranks up to k and the best of the own label equal brute force, ties included."""
