@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import written
+
 
 def levels(df: DataFrame, values: list[float], name: str = "far") -> DataFrame:
     """A short table of constants in the session of df."""
@@ -42,8 +44,10 @@ def cumulated(hist: DataFrame) -> DataFrame:
 def tpir_from_hist(hist: DataFrame, fars: list[float], low: float = -1.0, high: float = 1.0, bins: int = 2000) -> DataFrame:
     """(far, threshold, tpir): the left edge of the highest bin from which on far of all negatives are reached, and the part of positives there.
 
-    Without such a bin the threshold is `low` and the rate 1; without positives the rate is 0.
+    Without such a bin the threshold is `low` and the rate 1; without positives the rate is 0. The histogram is made once, as a table: all its
+    pairs would be scored again for each place that reads it.
     """
+    hist = written(hist)
     both = hist.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n_neg"))
     wanted = levels(hist, fars).join(F.broadcast(both))
     reached = wanted.join(cumulated(hist), F.col("cum_neg") >= F.col("far") * F.col("n_neg")).groupBy("far").agg(F.max_by(F.struct("bin", "cum_pos"), "bin").alias("at"))

@@ -105,6 +105,55 @@ def test_a_task_holds_a_large_tile_of_a_label_once(spark, sf_dir, monkeypatch):
     assert arrow + most < 2 * n * width * 4 + (48 << 20)
 
 
+def tile_kernel(monkeypatch, call):
+    """The kernel of a query on one tile, as over_tiles would run it."""
+    held = {}
+    monkeypatch.setattr(sim, "over_tiles", lambda *_, parts=sim.slabs, **__: held.update(kernel=_[-2], parts=parts) or MagicMock())
+    call()
+    monkeypatch.undo()
+    return lambda *tiles: held["kernel"](held["parts"](*tiles))
+
+
+@pytest.mark.parametrize("kind", ["random", "tenths", "copies", "wild", "ids twice"])
+@pytest.mark.parametrize("how", [{}, {"inside_of": 100}, {"low": 0.2, "bins": 4000, "only_inside": True}, {"low": -20, "high": -3, "bins": 7}])
+def test_bins_of_a_tile_equal_single_scores(spark, monkeypatch, kind, how):
+    rng = np.random.default_rng(9)
+    n = 1050
+    x = {"tenths": rng.integers(-3, 4, (n, 4)) / 10, "wild": rng.standard_normal((n, 6)) * 4}.get(kind, rng.standard_normal((n, 8)))
+    x = x if kind in ("tenths", "wild") else x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.repeat(x[: n // 7], 7, axis=0) if kind == "copies" else x
+    labels = np.where(rng.random(n) < 0.1, np.nan, rng.integers(0, 5, n))
+    ids = np.arange(n) // 2 if kind == "ids twice" else np.arange(n)
+    tile = ids, labels, x
+    made = tile_kernel(monkeypatch, lambda: sim.histogram(None, **how))
+    for other in (tile, (ids[:500] + n, labels[:500], x[-500:])):
+        _, _, same, s = (np.concatenate(c) for c in zip(*sim.slabs(tile, other), strict=True))
+        at = sim.binned(s, **how)
+        pos, neg = (np.bincount(at[own & (at >= 0)], minlength=4000) for own in (same, ~same))
+        want = [(b, int(pos[b]), int(neg[b])) for b in np.flatnonzero(pos + neg).tolist()]
+        assert [tuple(r.values()) for r in made(tile, other).to_pylist()] == want
+
+
+def test_a_histogram_holds_small_slabs(spark, monkeypatch):
+    """Slabs beyond a core's cache took most of the time; ids of pairs are not made."""
+    rng = np.random.default_rng(10)
+    tile = np.arange(5000), rng.integers(0, 8, 5000), rng.random((5000, 16)) / 4
+    made = tile_kernel(monkeypatch, lambda: sim.histogram(None))
+    tracemalloc.start()
+    t = made(tile, tile)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(t["pos"].to_pylist()) + sum(t["neg"].to_pylist()) == 5000 * 4999 // 2 and most < 32 << 20
+
+
+@pytest.mark.parametrize("name", ["agg_tpir_hist", "eval_identification"])
+def test_pairs_of_a_histogram_are_scored_once(spark, sf_dir, name):
+    """The plan read the histogram, and so scored all pairs, four times."""
+    from tessera.plans import QUERIES
+
+    assert QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") <= 1
+
+
 @pytest.mark.parametrize("block_rows", [6, 1000])
 def test_best_of_sides(spark, block_rows):
     """Ranks up to k and the best of the own label equal brute force, ties included."""
