@@ -146,6 +146,24 @@ def test_a_histogram_holds_small_slabs(spark, monkeypatch):
     assert sum(t["pos"].to_pylist()) + sum(t["neg"].to_pylist()) == 5000 * 4999 // 2 and most < 32 << 20
 
 
+@pytest.mark.parametrize("name", ["agg_hist_merge", "sim_v4", "sim_v6", "topk_merge"])
+def test_small_tiles_do_not_multiply_rows(spark, tmp_path, monkeypatch, name):
+    """A row travels at most once for each of a bounded number of blocks and once more, whatever the size of the table; blocks are about even, also where one label has most rows."""
+    from tessera.plans import QUERIES
+
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((3000, 8))
+    x[:2400, 0] = 9
+    rows = collection(spark, x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros(3000))
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    held, own = {}, sim.dealt
+    monkeypatch.setattr(sim, "dealt", lambda left, right, *how: held.update(left=left, right=right) or own(left, right, *how))
+    QUERIES[name](spark, str(tmp_path))
+    assert held["left"].count() + held["right"].count() <= 3000 * (sim.MOST_BLOCKS + 1)
+    largest = held["left"].groupBy("lo", "hi").count().agg(F.max("count")).first()[0]
+    assert largest <= 1.3 * 3000 / sim.MOST_BLOCKS
+
+
 @pytest.mark.parametrize("name", ["agg_tpir_hist", "eval_identification"])
 def test_pairs_of_a_histogram_are_scored_once(spark, sf_dir, name):
     """The plan read the histogram, and so scored all pairs, four times."""
