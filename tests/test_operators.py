@@ -146,6 +146,42 @@ def test_a_histogram_holds_small_slabs(spark, monkeypatch):
     assert sum(t["pos"].to_pylist()) + sum(t["neg"].to_pylist()) == 5000 * 4999 // 2 and most < 32 << 20
 
 
+def densities(x, least, radius):
+    """Clusters of one label by walking from each core in turn."""
+    out, near = np.full(len(x), -1), np.round(x @ x.T, 9) >= radius
+    core = (near.sum(axis=1) >= least) & (len(x) > least)
+    for i in np.flatnonzero(core):
+        todo = [i] if out[i] < 0 else []
+        number = out.max() + 1
+        while todo:
+            k = todo.pop()
+            out[k] = number
+            fresh = np.flatnonzero(near[k] & (out < 0)) if core[k] else []
+            out[fresh] = number
+            todo.extend(fresh)
+    return out
+
+
+@pytest.mark.parametrize(("block_rows", "radius"), [(None, 0.9), (20, 0.9), (20, 0.93)])
+def test_density_clusters_from_tiles(spark, monkeypatch, block_rows, radius):
+    """Equal to a walk over each label's whole matrix, which no task makes any more; blocks of 20 rows split the labels."""
+    own = sim.block_size
+    monkeypatch.setattr(sim, "block_size", lambda rows, v, _: (own(rows, v, None)[0], block_rows or own(rows, v, None)[1]))
+    assert not hasattr(graph, "density")
+    rng = np.random.default_rng(12)
+    labels = np.where(rng.random(240) < 0.7, 0, rng.integers(1, 40, 240))
+    x = rng.standard_normal((240, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:3] = 0
+    rows = collection(spark, x, labels).select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    got = {r.id: (r.label, r.cluster) for r in graph.clusters(rows, 4, radius).collect()}
+    want = {}
+    for l in np.unique(labels):
+        at = np.flatnonzero(labels == l)
+        want |= {int(i): (int(l), int(c)) for i, c in zip(at, densities(x[at], 4, radius), strict=True)}
+    assert got == want and len({c for _, c in want.values()}) > 2
+
+
 @pytest.mark.parametrize("name", ["agg_hist_merge", "sim_v4", "sim_v6", "topk_merge"])
 def test_small_tiles_do_not_multiply_rows(spark, tmp_path, monkeypatch, name):
     """A row travels at most once for each of a bounded number of blocks and once more, whatever the size of the table; blocks are about even, also where one label has most rows."""
