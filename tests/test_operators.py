@@ -476,3 +476,17 @@ def test_positive_pairs_of_tiles(spark, block, monkeypatch):
         own = [i for i, x in enumerate(labels) if x == label]
         assert got.pop(label) == set(sorted(((i, j) for i in own for j in own if i < j), key=key)[:cap])
     assert not got
+
+
+@pytest.mark.parametrize("ids", [np.arange(300), np.array([5]), np.array([3, 3]), np.arange(40) * sampling.M + 7, np.arange(-30, 60), np.arange(50) * 20_011])
+def test_least_partner_equals_all_pairs(ids):
+    key = lambda i, j: int(np.fmod(i * sampling.A + j * sampling.B, sampling.M))
+    for a, b in ((ids, ids), (ids[::2], ids[1::2]), (ids[:7], ids)):
+        want = sorted((i, *min((key(i, j), j) for j in b.tolist() if j != i)) for i in a.tolist() if any(j != i for j in b.tolist()))
+        assert sorted(zip(*(x.tolist() for x in sampling.least_partner(a, b)), strict=True)) == want
+
+
+def test_partners_of_a_large_label_are_not_all_tried():
+    """A label of 200,000 rows has 4 x 10^10 pairs, which were joined."""
+    i, _, j = sampling.least_partner(np.arange(200_000), np.arange(200_000))
+    assert len(i) == 200_000 and (i != j).all()
